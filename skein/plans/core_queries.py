@@ -1,0 +1,35 @@
+"""Queries of the general operators over a folder of tables, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.operators.nested import find_array_objects
+from skein.operators.parse_rows import find_malformed
+from skein.operators.schema_drift import find_changes
+from skein.operators.timestamps import find_odd_times
+from skein.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_malformed(table(spark, d, "records"), table(spark, d, "index_lines"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_changes(table(spark, d, "records"), table(spark, d, "field_catalog"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_odd_times(table(spark, d, "records"), table(spark, d, "machines"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_array_objects(table(spark, d, "records"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+ORACLES: dict[str, str] = {}
