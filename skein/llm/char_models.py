@@ -139,6 +139,10 @@ class CharModels:
         seen = size > 2
         out[seen] = total[seen] / size[seen, None]
 
+    def confidence(self, margin: float, size: int) -> float:
+        """Calibrated chance that a language is right which beats the next by so many bits a character."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * margin * size**0.5 + self.offset, -50, 50))))
+
     def classify(self, texts: list[str], reject: bool = True) -> list[tuple[str | None, float]]:
         """(language or None, confidence) of each text. None: too little text, or rejected as unlike
         every language. The confidence is the calibrated chance that the best language is right."""
@@ -157,8 +161,7 @@ class CharModels:
                 continue
             order = np.argsort(row, kind="stable")
             best = int(order[0])
-            margin = (row[order[1]] - row[best] if len(order) > 1 else 1.0) * len(t) ** 0.5
-            confidence = float(1 / (1 + np.exp(-(self.slope * margin + self.offset))))
+            confidence = self.confidence(row[order[1]] - row[best] if len(order) > 1 else 1.0, len(t))
             ok = not reject or row[best] <= self.reject[best] * (1 + 2.0 / len(t) ** 0.5)
             result.append((self.langs[best] if ok else None, confidence if ok else 1 - confidence))
         return [result[known[t]] for t in plain]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 # The endings of sentences.
 ENDS = ".!?…。！？｡"
 _END = re.compile(rf"[{ENDS}][\"'”’»)\]]*\s*$")
-_SENTENCE_END = re.compile(rf"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[”」』]*\s*")
+_SENTENCE_END = re.compile(rf"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[\"'”」』]*\s*")
 _MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—]\s+|\[[ xX✓]?\]\s+|☐\s*|☑\s*|✓\s*|✔\s*|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\(?[ivxIVX]{1,5}[.)]\s+|[①-⑳]\s*|#\d+\s+|→\s*|>>\s+)")
 _CODE_TOKEN = re.compile(r"\S*\w[/_\\]\w\S*|\S*\w\.[a-z]{1,5}\b\S*|\S+::\S+|\S*\w\(\S*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
