@@ -1,0 +1,43 @@
+"""Strict access to JSON values: a field of the wrong type is told from a missing one."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def kind(v: Column, path: str) -> Column:
+    """SQL type of the value at a path (``STRING``, ``BIGINT``, ``ARRAY<…>``, …, ``VOID`` for null), null if missing."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def text(v: Column, path: str) -> Column:
+    """The string at a path; empty where it is missing, null or no string."""
+    return F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string")).otherwise("")
+
+
+def integer(v: Column, path: str) -> Column:
+    return F.when(kind(v, path) == "BIGINT", F.try_variant_get(v, path, "bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def boolean(v: Column, path: str) -> Column:
+    return F.when(kind(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean")).otherwise(F.lit(False))
+
+
+def items(v: Column, path: str) -> Column:
+    """The elements of the array at a path; empty where there is none."""
+    return F.coalesce(F.when(F.startswith(kind(v, path), F.lit("ARRAY")), F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
+
+
+def fits(v: Column, **wanted: str) -> Column:
+    """Whether every named field (``a__b`` for a.b) is missing, null or of its type."""
+    ok = F.lit(True)
+    for name, want in wanted.items():
+        k = kind(v, "$." + name.replace("__", "."))
+        ok = ok & F.coalesce((k == "VOID") | (F.startswith(k, F.lit(want)) if want in ("ARRAY", "OBJECT") else k == want), F.lit(True))
+    return ok
+
+
+def all_fit(array: Column, **wanted: str) -> Column:
+    """Whether all elements are null, or objects whose named fields fit."""
+    return F.forall(array, lambda b: F.coalesce(F.schema_of_variant(b) == "VOID", F.lit(True)) | (F.startswith(F.schema_of_variant(b), F.lit("OBJECT")) & fits(b, **wanted)))

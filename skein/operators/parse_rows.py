@@ -226,6 +226,17 @@ def classify_records(records: DataFrame) -> DataFrame:
     return records.select("path", "line_no", "source", "raw").mapInArrow(run, "path string, line_no bigint, source string, status string, reason string, rtype string")
 
 
+def with_status(records: DataFrame) -> DataFrame:
+    """``source, path, line_no, raw, status`` of every line, in one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            status, _, _ = by_source(b)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "path", "line_no", "raw")), pa.array(STATUS[status], pa.string())], ["source", "path", "line_no", "raw", "status"])
+
+    return records.select("source", "path", "line_no", "raw").mapInArrow(run, "source string, path string, line_no bigint, raw string, status string")
+
+
 def load_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)``: the valid lines with their raw text, and the bad ones with place and reason."""
 
