@@ -20,13 +20,19 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scored together, which bounds the working memory.
 CHUNK = 150_000
 
-_TOKENS = re.compile(r"\S*\w[/_\\]\w\S*|\S*\w\.[a-zA-Z]{1,5}\b[^\s.,;!?。、，]*|`[^`]*`|https?://\S+")
-_SPACES = re.compile(r"[\s\d]+")
+_CODE = re.compile(r"\w[/_\\]\w|\w\.[a-zA-Z]{1,5}\b|`|://")
+_DIGITS = re.compile(r"\d+")
 
 
 def normalise(text: str) -> str:
-    """Lower case, without code-like tokens and digits, one space between words and around all."""
-    return " " + _SPACES.sub(" ", _TOKENS.sub(" ", text).lower()).strip() + " "
+    """Lower case, without code-like words and digits, one space between words and around all."""
+    words = text.lower().split()
+    if _CODE.search(text):
+        words = [w for w in words if not _CODE.search(w)]
+    plain = " ".join(words)
+    if _DIGITS.search(plain):
+        plain = " ".join(_DIGITS.sub(" ", plain).split())
+    return f" {plain} "
 
 
 def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -135,7 +141,9 @@ class CharModels:
             for k, (grams, ratio, contexts, weight) in enumerate(self.tables):
                 context = h[k - 1][part - 1] if k else np.zeros(len(part), dtype=np.uint64)
                 p = self._rows(grams, ratio, h[k][part]) + self._rows(contexts, weight, context) * p
-            np.add.at(total, owner[part], -np.log2(p)) if len(texts) > 1 else total.__iadd__(-np.log2(p).sum(axis=0))
+            own = owner[part]
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            total[own[begins]] -= np.add.reduceat(np.log2(p), begins, axis=0)
         seen = size > 2
         out[seen] = total[seen] / size[seen, None]
 

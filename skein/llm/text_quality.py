@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ ENDS = ".!?…。！？｡"
 _END = re.compile(rf"[{ENDS}][\"'”’»)\]]*\s*$")
 _SENTENCE_END = re.compile(rf"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[\"'”」』]*\s*")
 _MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—]\s+|\[[ xX✓]?\]\s+|☐\s*|☑\s*|✓\s*|✔\s*|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\(?[ivxIVX]{1,5}[.)]\s+|[①-⑳]\s*|#\d+\s+|→\s*|>>\s+)")
-_CODE_TOKEN = re.compile(r"\S*\w[/_\\]\w\S*|\S*\w\.[a-z]{1,5}\b\S*|\S+::\S+|\S*\w\(\S*")
+_IN_CODE = re.compile(r"\w[/_\\]\w|\w\.[a-z]{1,5}\b|\S::\S|\w\(")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _RULE = re.compile(r"^[\s|+:=\-_~*#.─━┄┈═│┃┼├┤┬┴╔╗╚╝╠╣╦╩╬]+$")
@@ -42,6 +44,33 @@ _SPACED = re.compile(r"\S(?: {2,}|\t)\S")
 _VISIBLE = regex.compile(r"[^\p{Z}\p{C}\u115f\u1160\u2800\u3164\uffa0]")
 
 
+# flags of a character
+VISIBLE, ALNUM, SPACE, DIGIT, UPPER, ALPHA = 1, 2, 4, 8, 16, 32
+
+
+def _flags(c: str) -> int:
+    return VISIBLE * bool(_VISIBLE.match(c)) | ALNUM * c.isalnum() | SPACE * c.isspace() | DIGIT * c.isdigit() | UPPER * c.isupper() | ALPHA * c.isalpha()
+
+
+@lru_cache(maxsize=1)
+def _flag_table() -> np.ndarray:
+    """Flags of the basic plane's characters, made once for each worker."""
+    return np.array([_flags(chr(i)) for i in range(0x10000)], dtype=np.uint8)
+
+
+def flags(text: str) -> np.ndarray:
+    """The flags of every character of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = _flag_table()[np.minimum(codes, 0xFFFF)]
+    for i in np.flatnonzero(codes > 0xFFFF):
+        out[i] = _flags(text[i])
+    return out
+
+
+def count(text: str, flag: int) -> int:
+    return int(np.count_nonzero(flags(text) & flag))
+
+
 class Words:
     """The common words, split into space-separated ones and pieces of unspaced scripts."""
 
@@ -78,16 +107,21 @@ def _cells(line: str) -> tuple[str, int]:
     return "", 1
 
 
+def without_code(line: str) -> str:
+    """The line's words that don't look like paths, names or calls in code."""
+    return " ".join([w for w in line.split() if not _IN_CODE.search(w)])
+
+
 def looks_prose(line: str, words: Words) -> bool:
     """Running text: enough words, some of them common, few symbols."""
-    plain = _CODE_TOKEN.sub(" ", line)
+    plain = without_code(line)
     cjk = len(_CJK.findall(plain))
-    if cjk >= 6 and cjk * 3 >= sum(c.isalpha() for c in plain):
+    if cjk >= 6 and cjk * 3 >= count(plain, ALPHA):
         return len(words.pieces.findall(plain)) * 14 >= cjk
     found = _WORD.findall(plain)
     if len(found) < 4:
         return False
-    common = sum(w.lower() in words.spaced for w in found)
+    common = sum(w in words.spaced for w in _WORD.findall(plain.lower()))
     letters = sum(map(len, found))
     visible = len(re.sub(r"\s", "", plain))
     return common * 7 >= len(found) and letters * 10 >= visible * 7 and letters <= 14 * len(found)
@@ -194,13 +228,13 @@ def _item(line: str, words: Words) -> bool:
 
 def _readable(line: str) -> bool:
     x = re.sub(r"\s", "", line)
-    letters = sum(c.isalpha() for c in x)
+    letters = count(x, ALPHA)
     return letters * 10 >= len(x) * 6 and max(map(len, line.split()), default=0) <= 60
 
 
 def _ordinary(line: str, words: Words) -> bool:
     """A short line by itself: some word of it is common, or it ends like a sentence."""
-    found = _WORD.findall(_CODE_TOKEN.sub(" ", line))
+    found = _WORD.findall(without_code(line))
     return bool(_END.search(line)) or any(w.lower() in words.spaced for w in found) or bool(words.pieces.search(line))
 
 
@@ -224,11 +258,11 @@ def _top_cover(tokens: list[str], total: int) -> float:
 
 
 def is_boilerplate(sentences: list[str], tokens: list[str], visible: int) -> bool:
-    """The same few sentences or words over and over. The n-gram coverage is only looked at
+    """The same few sentences or (lower-case) words over and over. The n-gram coverage is only looked at
     where few tokens are distinct, as it can't be high elsewhere."""
     plain = [s.strip().lower() for s in sentences]
     repeated = 1 - sum(map(len, set(plain))) / max(1, sum(map(len, plain))) if len(plain) >= 4 else 0.0
-    low = [t.lower() for t in tokens]
+    low = tokens
     if repeated <= 0.6 and len(set(low)) * 10 > len(low) * 3:
         return False
     cover = _top_cover(low, visible)
@@ -239,7 +273,9 @@ def describe(text: str | None, words: Words) -> tuple[list, str | None]:
     """The values of ``STATS`` and the form of one text."""
     if text is None:
         return [None] * len(STATS), None
-    visible = len(_VISIBLE.findall(text))
+    kinds = flags(text)
+    n_of = lambda flag: int(np.count_nonzero(kinds & flag))
+    visible = n_of(VISIBLE)
     if not visible:
         return [len(text), 0] + [0.0] * 4 + [0] + [0.0] * 9, "empty"
     found = _WORD.findall(text)
@@ -249,22 +285,22 @@ def describe(text: str | None, words: Words) -> tuple[list, str | None]:
     filled = [(x, f) for x, f in forms if f != "blank"]
     size = Counter()
     for x, f in filled:
-        size[f] += len(_VISIBLE.findall(x))
+        size[f] += count(x, VISIBLE)
     total = sum(size.values()) or 1
     share = {f: size[f] / total for f in ("prose", "list", "table", "junk")}
     lines = [x.strip() for x, _ in filled]
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     dup = lambda xs: 1 - sum(map(len, set(xs))) / max(1, sum(map(len, xs)))
     sentences = [s for x in lines for s in _SENTENCE_END.split(x) if s.strip()]
-    tokens = text.split() if cjk * 2 < visible else _CJK.findall(text)
-    cover = _top_cover([t.lower() for t in tokens], visible)
+    tokens = text.lower().split() if cjk * 2 < visible else _CJK.findall(text)
+    cover = _top_cover(tokens, visible)
     if cjk * 2 < visible:
-        common = sum(w.lower() in words.spaced for w in found) / max(1, len(found))
+        common = sum(w in words.spaced for w in _WORD.findall(text.lower())) / max(1, len(found))
     else:
         common = sum(map(len, words.pieces.findall(text))) / cjk
     stats = [
-        len(text), n_words, sum(map(len, found)) / max(1, len(found)), sum(not c.isalnum() and not c.isspace() for c in text) / max(1, visible), sum(c.isdigit() for c in text) / visible,
-        sum(c.isupper() for c in text) / visible, len(filled), sum(bool(_END.search(x)) for x in lines) / len(lines), common, dup(lines), dup(paragraphs), cover,
+        len(text), n_words, sum(map(len, found)) / max(1, len(found)), (len(text) - n_of(ALNUM | SPACE)) / max(1, visible), n_of(DIGIT) / visible,
+        n_of(UPPER) / visible, len(filled), sum(bool(_END.search(x)) for x in lines) / len(lines), common, dup(lines), dup(paragraphs), cover,
         *(share[f] for f in ("prose", "list", "table", "junk")),
     ]
     form = max(("prose", "list", "table", "junk"), key=lambda f: share[f])
