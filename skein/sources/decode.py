@@ -184,9 +184,12 @@ def dsh(rows: DataFrame) -> DataFrame:
     stream = items(d, "$.stream")
     stream_ok = is_object & fits(d, stream="ARRAY") & all_fit(stream, chunk="OBJECT", chunk__type="STRING", chunk__usage="OBJECT", chunk__usage__inputTokens="BIGINT", chunk__usage__outputTokens="BIGINT")
     chunks = F.filter(stream, lambda x: text(x, "$.chunk.type") == "usage")
-    spent = [F.aggregate(F.transform(chunks, lambda x, k=k: integer(x, f"$.chunk.usage.{k}")), zero, lambda a, x: a + x) for k in numbers[:2]]
+
+    def spent(name: str) -> Column:
+        return F.aggregate(F.transform(chunks, lambda x: integer(x, f"$.chunk.usage.{name}")), zero, lambda a, x: a + x)
+
     usage = F.when((record == "assistant/message") & said_ok & F.startswith(kind(d, "$.usage"), F.lit("OBJECT")), _usage(integer(d, "$.usage.inputTokens"), integer(d, "$.usage.outputTokens"), integer(d, "$.usage.cacheReadTokens"), zero, integer(d, "$.usage.reasoningTokens"))).when(
-        (record == "assistant/attempt") & stream_ok, _usage(*spent, zero, zero, zero)
+        (record == "assistant/attempt") & stream_ok, _usage(spent(numbers[0]), spent(numbers[1]), zero, zero, zero)
     )
     config = "$.header.config"
     header_ok = is_object & fits(d, header="OBJECT", header__config="OBJECT", header__config__provider="STRING", header__config__model="STRING")

@@ -95,7 +95,7 @@ def scan(sessions: DataFrame) -> DataFrame:
     files = [r.path for r in sessions.select("path").distinct().collect()]
     if not files:
         return spark.createDataFrame([], "source string, path string, line_no bigint, raw string")
-    text = spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(files)
+    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(files, wholetext=True)
     whole = text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")
     lines = whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
     kept = lines.select("path", (F.col("n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("raw")).where("raw <> ''")
@@ -110,6 +110,6 @@ def unreadable(sessions: DataFrame, records: DataFrame) -> DataFrame:
 def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, status, bytes, sha256`` of each file's decoded content; a broken file has status ERROR."""
     listed = spark.createDataFrame([(os.path.abspath(p),) for p in paths], "path string")
-    text = spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text([p for p in paths if os.path.exists(p)] or ["/dev/null"])
+    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text([p for p in paths if os.path.exists(p)] or ["/dev/null"], wholetext=True)
     got = text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.octet_length("value").cast("bigint").alias("bytes"), F.sha2("value", 256).alias("sha256"))
     return listed.join(got, "path", "left").select("path", F.when(F.col("sha256").isNull(), "ERROR").otherwise("OK").alias("status"), "bytes", "sha256")
