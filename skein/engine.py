@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators.fold import fold_transcripts, fold_turns
 from skein.plans import commands
-from skein.session import cut
+from skein.session import cut, ship
 from skein.sources.decode import decode
 from skein.sources.stores import discover, scan, unreadable
 
 
 class Engine:
     def __init__(self, spark: SparkSession, roots: dict[str, str] | None = None, sources: str | None = None, limit: int = 0):
+        ship(spark)
         self.spark, self.roots, self.names, self.limit = spark, roots, sources, limit
 
     @cached_property

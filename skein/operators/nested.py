@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.parse_rows import RECORD, by_source, decode, whole_text
+from skein.session import spread
 
 NODE_SCHEMA = "path string, line_no bigint, source string, rtype string, pre int, post int, parent int, depth int, item string, node_type string, in_array boolean, scalars map<string,string>"
 
@@ -89,7 +90,7 @@ def nodes(records: DataFrame, elements_only: bool = False, scalars: bool = True)
                         c.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
-    return records.select("path", "line_no", "source", "raw").mapInArrow(run, NODE_SCHEMA)
+    return spread(records.select("path", "line_no", "source", "raw")).mapInArrow(run, NODE_SCHEMA)
 
 
 def node_tables(node_rows: DataFrame, node_types: list[str]) -> dict[str, DataFrame]:

@@ -26,6 +26,8 @@ import pyarrow.json as pjson
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import spread
+
 RECORD, MALFORMED, SKIPPED = 0, 1, 2
 STATUS = np.array(["record", "malformed", "skipped"], dtype=object)
 BLOCK_LINES = 128
@@ -223,7 +225,7 @@ def classify_records(records: DataFrame) -> DataFrame:
                 ["path", "line_no", "source", "status", "reason", "rtype"],
             )
 
-    return records.select("path", "line_no", "source", "raw").mapInArrow(run, "path string, line_no bigint, source string, status string, reason string, rtype string")
+    return spread(records.select("path", "line_no", "source", "raw")).mapInArrow(run, "path string, line_no bigint, source string, status string, reason string, rtype string")
 
 
 def with_status(records: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def with_status(records: DataFrame) -> DataFrame:
             status, _, _ = by_source(b)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "path", "line_no", "raw")), pa.array(STATUS[status], pa.string())], ["source", "path", "line_no", "raw", "status"])
 
-    return records.select("source", "path", "line_no", "raw").mapInArrow(run, "source string, path string, line_no bigint, raw string, status string")
+    return spread(records.select("source", "path", "line_no", "raw")).mapInArrow(run, "source string, path string, line_no bigint, raw string, status string")
 
 
 def load_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +249,7 @@ def load_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "path", "line_no", "raw")), pa.array(fields["type"], pa.string())], ["source", "path", "line_no", "raw", "rtype"])
             yield out.filter(keep)
 
-    valid = records.select("source", "path", "line_no", "raw").mapInArrow(run, "source string, path string, line_no bigint, raw string, rtype string")
+    valid = spread(records.select("source", "path", "line_no", "raw")).mapInArrow(run, "source string, path string, line_no bigint, raw string, rtype string")
     rejected = classify_records(records).where("status = 'malformed'").select("path", "line_no", "source", "reason")
     return valid, rejected
 
@@ -366,7 +368,7 @@ def load_index(index_lines: DataFrame) -> DataFrame:
             )
 
     data = index_lines.where("line_no is null or line_no > 1").select("path", "line_no", "raw")
-    out = data.mapInArrow(run, "index_path string, line_no bigint, status string, reason string, " + ", ".join(f"{c} string" for c in INDEX_FIELDS))
+    out = spread(data).mapInArrow(run, "index_path string, line_no bigint, status string, reason string, " + ", ".join(f"{c} string" for c in INDEX_FIELDS))
     return out.withColumn("bytes", F.expr("try_cast(bytes as bigint)")).withColumn("mod_time", F.expr("try_cast(mod_time as timestamp)"))
 
 

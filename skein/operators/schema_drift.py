@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.parse_rows import RECORD, by_source, decode, json_type, whole_text
+from skein.session import spread, written
 
 #: Values kept of a column: the K smallest hashes of distinct values, an unbiased sample of them.
 SKETCH_K = 64
@@ -274,7 +275,7 @@ def profile(records: DataFrame, catalog: Catalog) -> DataFrame:
             plain = [[[whole_text(y) for y in x] if isinstance(x, tuple) else whole_text(x) for x in r] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in plain], t) for c, t in enumerate(_TYPES)], _NAMES)
 
-    return records.select("source", "path", "raw").mapInArrow(run, _PROFILE)
+    return spread(records.select("source", "path", "raw")).mapInArrow(run, _PROFILE)
 
 
 def _merged(sketches) -> str | None:
@@ -328,8 +329,6 @@ def merge_profiles(profiles: DataFrame) -> DataFrame:
 
 def changes(records: DataFrame, field_catalog: DataFrame) -> DataFrame:
     """``source, path, rtype, field, change, new_name`` (new_name for renames only)."""
-    from skein.session import written
-
     catalog = Catalog.of(field_catalog)
     merged = written(merge_profiles(profile(records, catalog)))
     # sketches of the catalogue's required fields: bounded by the schema, some kB each
@@ -424,4 +423,4 @@ def unified_records(records: DataFrame, field_catalog: DataFrame, change_rows: D
                     out.append((s, p, n, rtype, json.dumps(fit(record, "", catalog.objects.get((s, rtype), {"": {}}), s, rtype))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()])], ["source", "path", "line_no", "rtype", "doc"])
 
-    return records.select("source", "path", "line_no", "raw").mapInArrow(run, "source string, path string, line_no bigint, rtype string, doc string")
+    return spread(records.select("source", "path", "line_no", "raw")).mapInArrow(run, "source string, path string, line_no bigint, rtype string, doc string")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.parse_rows import RECORD, by_source
+from skein.session import spread
 
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
@@ -280,7 +281,7 @@ def record_times(records: DataFrame, machines: DataFrame) -> DataFrame:
                 ["path", "line_no", "source", "time_text", "shape", "utc_ms", "canonical", "tz_version"],
             )
 
-    return records.select("path", "line_no", "source", "raw").mapInArrow(
+    return spread(records.select("path", "line_no", "source", "raw")).mapInArrow(
         run, "path string, line_no bigint, source string, time_text string, shape string, utc_ms bigint, canonical boolean, tz_version string"
     )
 

@@ -72,10 +72,6 @@ def envelope(records: DataFrame) -> DataFrame:
     return rows.select("source", "path", "line_no", F.when(~bad, F.try_parse_json("raw")).alias("v"), bad.alias("malformed"))
 
 
-def _frame(rows: DataFrame, source: str) -> DataFrame:
-    return rows.where((F.col("source") == source) & ~F.col("malformed"))
-
-
 def _out(rows: DataFrame, ts: Column, turns: Column, **more: Column) -> DataFrame:
     fill = {"cwd": F.lit(None).cast("string"), "id": F.lit(None).cast("string"), "title": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "usage": F.lit(None).cast(USAGE)}
     return rows.select("source", "path", "line_no", "malformed", ts.alias("ts"), *((F.nullif(more[k], F.lit("")) if k in more and k != "usage" else more.get(k, c)).alias(k) for k, c in fill.items()), turns.alias("turns"))
@@ -116,7 +112,7 @@ def claude(rows: DataFrame) -> DataFrame:
     blocks = F.when(F.coalesce(message_ok, F.lit(False)), blocks)
     calls = F.size(F.filter("blocks", lambda b: b["kind"] == "tool_use"))
     kind_ = text(v, "$.type")
-    rows = _frame(rows, "claude").withColumns({"blocks": F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")), "m": m})
+    rows = rows.withColumns({"blocks": F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")), "m": m})
     m = F.col("m")
     turn = F.when(kind_ == "user", _turn("user", F.col("blocks"), titles=True)).when(kind_ == "assistant", _turn("assistant", F.col("blocks"), text(m, "$.model"), calls))
     turns = F.when(kind_.isin("user", "assistant"), _if_blocks(turn)).otherwise(_none())
@@ -134,7 +130,7 @@ def codex(rows: DataFrame) -> DataFrame:
     ok = F.startswith(F.schema_of_variant(p), F.lit("OBJECT")) & fits(
         p, type="STRING", cwd="STRING", id="STRING", role="STRING", name="STRING", input="STRING", content="ARRAY", info="OBJECT", **{total: "OBJECT"}, **{f"{total}__{k}": "BIGINT" for k in names}
     ) & all_fit(content, type="STRING", text="STRING")
-    rows = _frame(rows, "codex").withColumns({"p": p, "kind": F.when(F.coalesce(ok, F.lit(False)), text(v, "$.type")).otherwise("")})
+    rows = rows.withColumns({"p": p, "kind": F.when(F.coalesce(ok, F.lit(False)), text(v, "$.type")).otherwise("")})
     p, record, kind_ = F.col("p"), F.col("kind"), text(F.col("p"), "$.type")
     role = text(p, "$.role")
     thoughts = F.filter(F.transform(items(p, "$.summary"), lambda s: text(s, "$.text")), nonblank)
@@ -156,7 +152,7 @@ def codex(rows: DataFrame) -> DataFrame:
 
 def dsh(rows: DataFrame) -> DataFrame:
     v = F.col("v")
-    rows = _frame(rows, "dsh").withColumns({"d": F.try_variant_get(v, "$.data", "variant"), "kind": text(v, "$.type")})
+    rows = rows.withColumns({"d": F.try_variant_get(v, "$.data", "variant"), "kind": text(v, "$.type")})
     d, record = F.col("d"), F.col("kind")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(d), F.lit("OBJECT")), F.lit(False))
     own = items(d, "$.content")
@@ -205,9 +201,9 @@ def dsh(rows: DataFrame) -> DataFrame:
 
 
 def decode(records: DataFrame) -> DataFrame:
-    """All sources together, each line once."""
-    rows = envelope(records)
-    bad = rows.where("malformed")
-    lost = _out(bad, F.lit(None).cast("timestamp"), _none())
-    parts = claude(rows).unionByName(codex(rows)).unionByName(dsh(rows)).unionByName(lost)
-    return parts.dropDuplicates(["source", "path", "line_no"])
+    """All sources together, each line once; other sources have no reader and give nothing.
+
+    The sources are told apart before their lines are parsed, so every line is parsed once.
+    """
+    parts = [read(envelope(records.where(F.col("source") == name))) for name, read in (("claude", claude), ("codex", codex), ("dsh", dsh))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["source", "path", "line_no"])
