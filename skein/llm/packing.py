@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import cut, written
+from skein.session import cut, spread, written
 
 #: Default vocabulary; any file of the installed public tokenizers may be named instead.
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,7 +51,7 @@ def count_tokens(documents: DataFrame, keep: list[str], tokenizer: str | None =
                 sizes += [len(e.ids) for e in t.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64())], [*keep, "tokens"])
 
-    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, tokens bigint")
+    return spread(documents.select(*keep, F.col("text").alias("__text"))).mapInArrow(run, f"{fields}, tokens bigint")
 
 
 def pack_histogram(lengths: dict[int, int], capacity: int, shortest: bool = True) -> list[tuple[tuple[int, ...], int]]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from skein.session import spread
+
 # The endings of sentences.
 ENDS = ".!?…。！？｡"
 _END = re.compile(rf"[{ENDS}][\"'”’»)\]]*\s*$")
@@ -326,7 +328,7 @@ def text_stats(documents: DataFrame, common_words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
 
     schema = "doc_id bigint, " + ", ".join(f"{n} {t}" for n, t in STATS) + ", form string"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def find_not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
