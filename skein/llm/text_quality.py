@@ -181,7 +181,7 @@ def _block(lines: list[str], forms: list[str], lo: int, hi: int, words: Words) -
         x = block[k]
         if _LOG.search(x):
             forms[lo + k] = "junk"
-        elif _MARK.match(x):
+        elif _MARK.match(x) and 2 * count(x, ALNUM) >= count(x, VISIBLE):
             forms[lo + k] = "list"
     # short lines without an end are unmarked items if several stand together
     open_ = [k for k in open_ if forms[lo + k] == ""]
@@ -207,6 +207,8 @@ def _block(lines: list[str], forms: list[str], lo: int, hi: int, words: Words) -
 
 
 def _is_table(rows: list[str], sep: str, n: int, words: Words) -> bool:
+    if sep != "|" and 2 * sum(looks_prose(x, words) and (bool(_END.search(x)) or len(x) > 80) for x in rows) >= len(rows):
+        return False  # sentences that happen to share their punctuation
     if sep == ", ":  # prose has commas, too: rows need short cells and no sentence
         return n >= 3 and not any(looks_prose(x, words) or _END.search(x) for x in rows)
     if sep == "  ":

@@ -90,6 +90,7 @@ def test_training_from_tables(spark):
 
 FORMS = [
     (prose("en", 6), "prose"), (prose("de", 5).lower(), "prose"), (prose("zh", 5), "prose"), (prose("fr", 4).upper(), "prose"), (prose("en", 4) + "\n\n- one\n- two\n\n" + prose("en", 3), "prose"), (prose("es", 4) + "\n```\nx = 1\n```\n" + prose("es", 2), "prose"),
+    (prose("en", 1, 1)[:-1] + "; " + prose("en", 2, 2) + "\n" + prose("en", 1, 3)[:-1] + "; " + prose("en", 2, 4), "prose"), (prose("de", 1)[:-1] + "\t" + prose("de", 1, 2) + "\n" + prose("de", 1, 3)[:-1] + "\t" + prose("de", 2, 4), "prose"),
     ("- buy the milk\n- call home\n- write to Anna", "list"), ("1. one thing\n2. another\n3. the third", "list"), ("add a test\nremove the cache\nwrite docs\nmove the lock file", "list"), ("[ ] add\n[x] remove\n[ ] rename", "list"),
     ("a,b,c\n1,2,3\n4,5,6", "table"), ("a\tb\n1\t2\n3\t4", "table"), ("| a | b |\n|---|---|\n| 1 | 2 |", "table"), ("+---+---+\n| a | b |\n+---+---+\n| 1 | 2 |\n+---+---+", "table"), ("name    size  n\nfoo     12    3\nbar     7     44", "table"), ("a;b\n1;2\n3;4", "table"),
     ("def f(x):\n    return x + 1\nassert f(1) == 2", "junk"), ("Session restored.\n" * 12, "junk"), ("copied to clipboard " * 15, "junk"), ("DEBUG a: b took 5ms\n--- FAIL: test_x (0.1s)\n12 passed, 0 failed in 3s", "junk"), ("qwrt zxcv bnmk plkj hgfd " * 8, "junk"),
