@@ -21,6 +21,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 150_000
 
 _CODE = re.compile(r"\w[/_\\]\w|\w\.[a-zA-Z]{1,5}\b|`|://")
+_CODE_SIGNS = frozenset("/_\\.`:")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -28,7 +29,7 @@ def normalise(text: str) -> str:
     """Lower case, without code-like words and digits, one space between words and around all."""
     words = text.lower().split()
     if _CODE.search(text):
-        words = [w for w in words if not _CODE.search(w)]
+        words = [w for w in words if _CODE_SIGNS.isdisjoint(w) or not _CODE.search(w)]
     plain = " ".join(words)
     if _DIGITS.search(plain):
         plain = " ".join(_DIGITS.sub(" ", plain).split())

@@ -30,6 +30,8 @@ _END = re.compile(rf"[{ENDS}][\"'”’»)\]]*\s*$")
 _SENTENCE_END = re.compile(rf"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[\"'”」』]*\s*")
 _MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—]\s+|\[[ xX✓]?\]\s+|☐\s*|☑\s*|✓\s*|✔\s*|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\(?[ivxIVX]{1,5}[.)]\s+|[①-⑳]\s*|#\d+\s+|→\s*|>>\s+)")
 _IN_CODE = re.compile(r"\w[/_\\]\w|\w\.[a-z]{1,5}\b|\S::\S|\w\(")
+#: Any match of ``_IN_CODE`` holds one of these.
+_CODE_SIGNS = frozenset("/_\\.:(")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _RULE = re.compile(r"^[\s|+:=\-_~*#.─━┄┈═│┃┼├┤┬┴╔╗╚╝╠╣╦╩╬]+$")
@@ -111,7 +113,7 @@ def _cells(line: str) -> tuple[str, int]:
 
 def without_code(line: str) -> str:
     """The line's words that don't look like paths, names or calls in code."""
-    return " ".join([w for w in line.split() if not _IN_CODE.search(w)])
+    return " ".join([w for w in line.split() if _CODE_SIGNS.isdisjoint(w) or not _IN_CODE.search(w)])
 
 
 def looks_prose(line: str, words: Words) -> bool:
@@ -120,10 +122,10 @@ def looks_prose(line: str, words: Words) -> bool:
     cjk = len(_CJK.findall(plain))
     if cjk >= 6 and cjk * 3 >= count(plain, ALPHA):
         return len(words.pieces.findall(plain)) * 14 >= cjk
-    found = _WORD.findall(plain)
+    found = _WORD.findall(plain.lower())
     if len(found) < 4:
         return False
-    common = sum(w in words.spaced for w in _WORD.findall(plain.lower()))
+    common = sum(w in words.spaced for w in found)
     letters = sum(map(len, found))
     visible = len(re.sub(r"\s", "", plain))
     return common * 7 >= len(found) and letters * 10 >= visible * 7 and letters <= 14 * len(found)
@@ -282,14 +284,18 @@ def describe(text: str | None, words: Words) -> tuple[list, str | None]:
     visible = n_of(VISIBLE)
     if not visible:
         return [len(text), 0] + [0.0] * 4 + [0] + [0.0] * 9, "empty"
-    found = _WORD.findall(text)
+    found = _WORD.findall(text.lower())
     cjk = len(_CJK.findall(text))
     n_words = len(found) if cjk * 2 < visible else cjk
     forms = line_forms(text, words)
     filled = [(x, f) for x, f in forms if f != "blank"]
     size = Counter()
-    for x, f in filled:
-        size[f] += count(x, VISIBLE)
+    upto, at = np.concatenate([[0], np.cumsum(kinds & VISIBLE)]), 0
+    for x, f in forms:
+        end = at + len(x)
+        size[f] += int(upto[end] - upto[at])
+        at = end + 1 + (text[end : end + 2] == "\r\n")
+    size.pop("blank", None)
     total = sum(size.values()) or 1
     share = {f: size[f] / total for f in ("prose", "list", "table", "junk")}
     lines = [x.strip() for x, _ in filled]
@@ -299,7 +305,7 @@ def describe(text: str | None, words: Words) -> tuple[list, str | None]:
     tokens = text.lower().split() if cjk * 2 < visible else _CJK.findall(text)
     cover = _top_cover(tokens, visible)
     if cjk * 2 < visible:
-        common = sum(w in words.spaced for w in _WORD.findall(text.lower())) / max(1, len(found))
+        common = sum(w in words.spaced for w in found) / max(1, len(found))
     else:
         common = sum(map(len, words.pieces.findall(text))) / cjk
     stats = [
