@@ -1,4 +1,4 @@
-"""Command line: ls, search, show, export, stats, sources."""
+"""Command line: ls, search, show, export, stats, sources; probe for compressed files."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from skein.functions.display import format_count, human_bytes
 from skein.functions.render import load_session, print_json, to_json, to_markdown, to_text
 from skein.plans import commands
 from skein.session import local_session
-from skein.sources.stores import ROOTS
+from skein.sources.stores import ROOTS, probe
 
 ALIASES = {"list": "ls", "grep": "search", "cat": "show"}
 
@@ -42,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--out")
         if name == "stats":
             c.add_argument("--by", default="source")
+    sub.add_parser("probe").add_argument("files", nargs="+")
     sub.add_parser("help")
     return p
 
@@ -59,6 +60,11 @@ def main(argv: list[str] | None = None) -> int:
     if command == "help":
         parser.print_help()
         return 0
+    if command == "probe":
+        rows = probe(local_session(), args.files).orderBy("path").collect()
+        for r in rows:
+            print(f"{r.path}\t{r.status}\t{r.bytes or 0}\t{r.sha256 or ''}")
+        return int(any(r.status != "OK" for r in rows))
     if command == "export" and args.format not in ("md", "markdown", "json"):
         print(f"skein: unknown format {args.format!r}", file=sys.stderr)
         return 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.operators.fold import fold_transcripts, fold_turns
 from skein.plans import commands
@@ -39,6 +40,12 @@ class Engine:
     def transcripts(self) -> DataFrame:
         return fold_transcripts(self.decoded, self.turns, self.sessions)
 
+    def register_views(self) -> None:
+        """Temporary views ``sessions``, ``records``, ``turns``, ``blocks`` and ``transcripts`` for ``spark.sql``."""
+        blocks = self.turns.select("source", "path", "turn_idx", "role", "ts", F.posexplode("blocks").alias("pos", "b")).select("source", "path", "turn_idx", "role", "ts", "pos", "b.*")
+        for name, df in (("sessions", self.sessions), ("records", self.records), ("turns", self.turns), ("blocks", blocks), ("transcripts", self.transcripts)):
+            df.createOrReplaceTempView(name)
+
     def only(self, sessions: DataFrame) -> "Engine":
         """The same engine over some of the sessions."""
         other = Engine(self.spark, self.roots, self.names)

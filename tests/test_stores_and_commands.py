@@ -105,6 +105,18 @@ def test_probe(spark, roots):
     assert got["session-1/session.jsonl.zstd"].status == "OK" and got["session-2/broken.zstd"].status == "ERROR"
 
 
+def test_views_for_sql(spark, engine):
+    engine.register_views()
+    assert spark.sql("SELECT count(*) FROM turns t JOIN blocks b USING (path, turn_idx) WHERE b.kind = 'text'").first()[0] == engine.turns.count()
+    assert spark.sql("SELECT source, count(*) FROM sessions GROUP BY CUBE (source)").count() == 4
+
+
+def test_probe_command(roots, capsys):
+    base = f"{roots['dsh']}/~work-x"
+    assert cli.main(["probe", f"{base}/session-1/session.jsonl.zstd"]) == 0 and "\tOK\t" in capsys.readouterr().out
+    assert cli.main(["probe", f"{base}/session-1/session.jsonl.zstd", f"{base}/session-2/broken.zstd"]) == 1
+
+
 def test_command_line(roots, capsys, tmp_path):
     opts = [f"--root={n}={d}" for n, d in roots.items()]
     assert cli.main(["help"]) == 0 and cli.main([]) == 0 and cli.main(["nonsense"]) == 2 and cli.main(["search"]) == 2
