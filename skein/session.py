@@ -33,9 +33,6 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 _shipped: set[str] = set()
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors, unless PYTHONPATH already does."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parent
@@ -69,40 +66,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors, unless PYTHONPATH already does."""
-    sc, root = spark.sparkContext, Path(__file__).resolve().parent
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    if str(root.parent) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        archive = os.path.join(tempfile.mkdtemp(prefix="skein-"), f"{root.name}.zip")
-        try:
-            with zipfile.PyZipFile(archive, "w") as z:  # compiled, so that workers start as fast as from a folder
-                z.writepy(str(root))
-        except OSError:  # the folder can't be written to
-            shutil.make_archive(archive.removesuffix(".zip"), "zip", root.parent, root.name)
-        sc.addPyFile(archive)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores.
-
-    For work that costs far more than moving its rows once: a scan of few, small files would
-    keep most cores idle. A scan with enough splits, as of any large table, is left alone.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, else (only where the
     cluster sets none, as in tests) a temporary folder."""
