@@ -25,6 +25,8 @@ from skein.session import cut, written
 
 #: Blocks of the permutation of a source; a block is the unit that is ranked and cut in parallel.
 BLOCKS = 256
+#: Passes over the permutation that fill the partial epoch.
+PASSES = 2
 
 
 def temperature_weights(sizes: dict[str, float], exponent: float) -> dict[str, float]:
@@ -72,7 +74,7 @@ def allot(sizes: dict[str, int], shares: dict[str, float], max_repeats: dict[str
     rest = float(budget)
     while live and rest > 0:
         scale = sum(live.values())
-        full = [s for s, w in live.items() if rest * w / scale >= room[s]]
+        full = [s for s, w in live.items() if rest * w / scale > room[s] - 1]
         if not full:
             for s, w in live.items():
                 wanted[s] = math.floor(rest * w / scale)
@@ -84,13 +86,30 @@ def allot(sizes: dict[str, int], shares: dict[str, float], max_repeats: dict[str
     return wanted
 
 
+def _gaps(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``source, gap``: tokens that the partial epoch still lacks; one row a source."""
+    taken = rows.where("used").groupBy("source").agg(F.sum("tokens").alias("taken"))
+    return plan.join(taken, "source", "left").select("source", (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("gap"))
+
+
+def _take(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Marks unused texts as used that end within the gap, in the permutation's order, counting only texts
+    that aren't larger than the gap themselves. Sums run inside blocks, then over one row a block."""
+    open_ = rows.join(F.broadcast(_gaps(rows, plan)), "source").withColumn("size", F.when(~F.col("used") & (F.col("tokens") <= F.col("gap")), F.col("tokens")).otherwise(0))
+    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = open_.groupBy("source", "block").agg(F.sum("size").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    inside = F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ended = open_.withColumn("end", inside).join(starts, ["source", "block"])
+    return ended.select("source", "block", "key", "doc_id", "tokens", (F.col("used") | ((F.col("size") > 0) & (F.col("start") + F.col("end") <= F.col("gap")))).alias("used"))
+
+
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None, seed: int = 17, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(selection, report)``.
 
     selection: ``source, doc_id, tokens, times`` - how often each document is used. report:
     ``source, target_share, share, tokens, available, epochs, max_repeats``. The targets' shares are used
-    as given; where ``target_entropy`` is set, they come from the exponent instead. The size of each source
-    differs from its share of the budget by less than one document.
+    as given; where ``target_entropy`` is set, they come from the exponent instead. Each source stays below
+    its part of the budget by less than the smallest text it doesn't use in its last epoch.
     """
     spark = documents.sparkSession
     # one row a source: a configuration, not data
@@ -108,14 +127,17 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tar
     plan = spark.createDataFrame(
         [(s, sizes[s], wanted[s] // sizes[s] if sizes[s] else 0, wanted[s] % sizes[s] if sizes[s] else 0) for s in sorted(shares)] or [("", 0, 0, 0)], "source string, available bigint, epochs bigint, rest bigint"
     )
-    # texts stand in the order (block, key); a text is in the partial epoch if it begins before its end
-    before = block_sizes.withColumn("start", F.coalesce(F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocked.withColumn("inside", inside).join(before.select("source", "block", "start"), ["source", "block"]).join(F.broadcast(plan), "source")
-    begin = F.col("start") + F.col("inside")
-    # the text at the cut is taken if more than half of it lies before
-    partial = (begin + F.col("tokens") / 2 <= F.col("rest")).cast("bigint")
-    selection = placed.withColumn("times", F.col("epochs") + partial).where("times > 0").select("source", "doc_id", "tokens", "times")
+    # the partial epoch is cut from the permutation in the order (block, key). A text that doesn't fit any more
+    # is skipped, which the second pass makes up for with later, smaller texts, and the largest fitting text at last
+    rows = blocked.select("source", "block", "key", "doc_id", "tokens", F.lit(False).alias("used"))
+    for _ in range(PASSES):
+        rows = cut(_take(rows, plan))
+    left = F.broadcast(_gaps(rows, plan))
+    fits = rows.join(left, "source").where(~F.col("used") & (F.col("tokens") <= F.col("gap")))
+    filler = F.broadcast(fits.groupBy("source").agg(F.max_by("doc_id", F.struct("tokens", -F.col("doc_id"))).alias("filler")))
+    used = F.col("used") | F.coalesce(F.col("doc_id") == F.col("filler"), F.lit(False))
+    chosen = rows.join(F.broadcast(plan.select("source", "epochs")), "source").join(filler, "source", "left").withColumn("times", F.col("epochs") + used.cast("bigint"))
+    selection = chosen.where("times > 0").select("source", "doc_id", "tokens", "times")
     got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
     config = spark.createDataFrame([(s, shares[s], limits[s], sizes[s]) for s in sorted(shares)] or [("", 0.0, 1, 0)], "source string, target_share double, max_repeats int, available bigint")
     report = config.join(F.broadcast(got), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
