@@ -82,6 +82,20 @@ def test_unnamed_languages(spark, models):
     assert label_segments(docs(spark, rows), common(spark), models).where("doc_id = 3").count() == 2
 
 
+def test_lists_tables_and_titles_have_a_language(spark, models):
+    items = {lang: [s.format(FILL[lang][0]).rstrip(".。") for s in SENTENCES[lang]] for lang in SENTENCES}
+    rows = [("\n".join(f"- {x}" for x in items[lang]), None, lang) for lang in ("de", "ru", "zh")]
+    rows += [("| " + " | ".join(x.split()[:6]) + " |\n| " + " | ".join(x.split()[6:12]) + " |", None, "fr") for x in (" ".join(items["fr"]),)]
+    rows += [("The door is open to all.\n" * 12, None, "en"), ("x = 1;\ny = f(x);\n", items["de"][0], "de"), (None, items["ru"][0], "ru"), ("7 8 9", None, None), (prose("en", 4), items["de"][0], "en")]
+    df = spark.createDataFrame([(i, t, None, title) for i, (t, title, _) in enumerate(rows)], "doc_id bigint, text string, lang string, title string")
+    main = {r.doc_id: r for r in label_documents(df, common(spark), models).collect()}
+    assert {i: r.lang for i, r in main.items()} == {i: lang for i, (*_, lang) in enumerate(rows)}
+    assert all((r.confidence is None) == (r.lang is None) for r in main.values())
+    got = {(r.doc_id, r.lang, r.part) for r in label_segments(df, common(spark), models).where("lang is not null").collect()}
+    assert got == {(i, lang, "title" if i in (5, 6) else "text") for i, (*_, lang) in enumerate(rows) if lang}
+    assert {r.doc_id for r in find_unnamed_languages(df, common(spark), models).collect()} == {8}
+
+
 def test_training_from_tables(spark):
     rows = [(prose(lang, 6, i), lang) for lang in ("en", "de", "fr") for i in range(8)]
     assert find_unnamed_languages(docs(spark, rows), common(spark)).count() == 0
