@@ -21,6 +21,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,37 @@ def rtype_of(source: str | None, record: dict) -> str | None:
     return rtype
 
 
+#: Classes of characters. A text's shape is a set of them and one of six lengths, so there are at most
+#: 6 x 2^8 shapes of texts, however many values a column has, and all are counted.
+_CLASSES = ("digit", "lower", "upper", "letter", "space", "joint", "slash", "sign")
+_HEX = frozenset("0123456789abcdef-")
+
+
+@lru_cache(maxsize=1 << 16)
+def _class_of(c: str) -> int:
+    if c.isdigit():
+        name = "digit"
+    elif c.isalpha():
+        name = "letter" if not c.isascii() else "lower" if c.islower() else "upper"
+    else:
+        name = "space" if c.isspace() else "joint" if c in "-_" else "slash" if c in "/\\" else "sign"
+    return 1 << _CLASSES.index(name)
+
+
 def shape(value) -> str:
-    """What a value looks like: character classes of a text, magnitude of a number, keys of an object."""
+    """What a value looks like: character classes and length of a text (all hexadecimal ids of a length
+    are alike), magnitude of a number, keys of an object."""
     kind = json_type(value)
     if kind == "string":
-        short = re.sub(r"\d+", "9", value[:64])
-        short = re.sub(r"[^\W\d_]+", "a", short)
-        return f"s{short[:12]}~{min(5, int(math.log(len(value) + 1, 4)))}"
+        seen = set(value[:64])
+        has = 0
+        for c in seen:
+            has |= _class_of(c)
+        if seen <= _HEX and has & 3 == 3:
+            has = 3
+        return f"s{has:x}~{min(5, int(math.log(len(value) + 1, 4)))}"
     if kind in ("int", "float"):
-        return f"n{int(math.log2(abs(value) + 1) / 2) if math.isfinite(value) else 99}"
+        return f"n{min(99, int(math.log2(abs(value) + 1) / 2)) if math.isfinite(value) else 99}"
     return kind
 
 
@@ -84,7 +107,7 @@ def digest(value) -> int:
 
 
 class Sketch:
-    """Count, JSON types, K smallest value hashes, commonest shapes and object keys of a column."""
+    """Count, JSON types, K smallest value hashes, all shapes and commonest object keys of a column."""
 
     __slots__ = ("n", "kinds", "low", "shapes", "keys")
 
@@ -100,15 +123,13 @@ class Sketch:
         self.shapes[s] = self.shapes.get(s, 0) + 1
         for k in value if kind == "object" else {j for x in value if isinstance(x, dict) for j in x} if kind == "array" else ():
             self.keys[k] = self.keys.get(k, 0) + 1
-        if len(self.low) > 8 * SKETCH_K or len(self.shapes) > 8 * SKETCH_K or len(self.keys) > 8 * SKETCH_K:
+        if len(self.low) > 8 * SKETCH_K or len(self.keys) > 8 * SKETCH_K:
             self.trim()
 
     def trim(self) -> "Sketch":
         self.low = set(heapq.nsmallest(SKETCH_K, self.low))
-        for name in ("shapes", "keys"):
-            table = getattr(self, name)
-            if len(table) > SKETCH_K:
-                setattr(self, name, dict(sorted(table.items(), key=lambda x: (-x[1], x[0]))[:SKETCH_K]))
+        if len(self.keys) > SKETCH_K:
+            self.keys = dict(sorted(self.keys.items(), key=lambda x: (-x[1], x[0]))[:SKETCH_K])
         return self
 
     def merge(self, o: "Sketch") -> "Sketch":

@@ -1,11 +1,13 @@
 import itertools
 import json
+import random
+import uuid
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.operators.schema_drift import Sketch, best_matching, changes, find_changes, name_similarity, unified_records
+from skein.operators.schema_drift import Sketch, best_matching, changes, find_changes, name_similarity, shape, unified_records
 
 CATALOG = [
     ("dsh", "a", "type", "string", True), ("dsh", "a", "data", "object", True), ("dsh", "a", "data.role", "string", True), ("dsh", "a", "data.n", "int", True), ("dsh", "a", "data.opt", "any", False),
@@ -34,6 +36,15 @@ def test_sketches_merge():
     assert name_similarity("model", "model_name") > 0.5 > name_similarity("role", "author")
 
 
+def test_all_shapes_are_counted():
+    rng = random.Random(3)
+    a, b = Sketch(), Sketch()
+    for i in range(4000):
+        (a if i % 2 else b).add("".join(rng.choices("aZé7 -_/.\\u00a0", k=rng.randint(0, 40))))
+    merged = Sketch.load(a.dump()).merge(Sketch.load(b.dump()))
+    assert sum(merged.shapes.values()) == 4000 and 64 < len(merged.shapes) <= 6 * 2**8
+
+
 def table(spark, rows):
     return spark.createDataFrame([(s, p, i, r if isinstance(r, str) or r is None else json.dumps(r)) for i, (s, p, r) in enumerate(rows)], "source string, path string, line_no bigint, raw string")
 
@@ -63,6 +74,17 @@ def test_changes(spark):
     assert one["renamed"]["data"] == {"role": "user", "n": 50} and one["retyped"]["data"]["n"] == 5 and one["added"]["data"]["_other"] == {"extra": {"deep": 1}}
 
 
+def test_renamed_ids(spark):
+    rng = random.Random(5)
+    ids = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(640)]
+    assert len({shape(x) for x in ids}) == 1
+    cat = catalog(spark, [("codex", "s", "type", "string", True), ("codex", "s", "payload", "object", True), ("codex", "s", "payload.id", "string", True)])
+    rows = [("codex", f"g{i}", {"type": "s", "payload": {"id": x}}) for i, x in enumerate(ids[:600])]
+    rows += [("codex", f"r{i}", {"type": "s", "payload": {"ref": x, "note": "see the notes"}}) for i, x in enumerate(ids[600:])]
+    got = [(r.path, r.field, r.change) for r in find_changes(table(spark, rows), cat).collect()]
+    assert sorted(got) == sorted(x for i in range(40) for x in ((f"r{i}", "payload.id", "renamed"), (f"r{i}", "payload.note", "added")))
+
+
 def test_empty_tables(spark):
     assert find_changes(table(spark, []), catalog(spark)).count() == 0
     assert {tuple(r) for r in find_changes(table(spark, [("dsh", "p", {"type": "a"})]), catalog(spark, [])).collect()} == {("p", "a", "type", "added")}
