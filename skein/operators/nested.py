@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.parse_rows import RECORD, by_source, decode, whole_text
-from skein.session import spread
+from skein.session import spread, written
 
 NODE_SCHEMA = "path string, line_no bigint, source string, rtype string, pre int, post int, parent int, depth int, item string, node_type string, in_array boolean, scalars map<string,string>"
 
@@ -61,14 +61,17 @@ def _scalar(v) -> str | None:
     return whole_text(v) if isinstance(v, str) else json.dumps(v)
 
 
-def nodes(records: DataFrame, elements_only: bool = False, scalars: bool = True) -> DataFrame:
+def nodes(records: DataFrame, elements_only: bool = False, scalars: bool = True, with_copy: bool = False) -> DataFrame:
     """The node table of all records (columns of ``NODE_SCHEMA``); repeated lines repeat.
 
     ``elements_only`` keeps objects that stand in an array; ``scalars=False`` leaves the
-    map of plain fields null.
+    map of plain fields null; ``with_copy`` adds ``copy``, a hash of the line and its source.
     """
+    schema = NODE_SCHEMA + ", copy bigint" * with_copy
     names = [c.split()[0] for c in NODE_SCHEMA.replace("map<string,string>", "map").split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+    if with_copy:
+        names, types = [*names, "copy"], [*types, pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,12 +80,14 @@ def nodes(records: DataFrame, elements_only: bool = False, scalars: bool = True)
             rows: list[list] = [[] for _ in names]
             put = [c.append for c in rows]
             paths, lines, sources, raws = (b.column(c).to_pylist() for c in ("path", "line_no", "source", "raw"))
+            copies = b.column("copy").to_pylist() if with_copy else None
             for i in keep.tolist():
+                more = (copies[i],) if with_copy else ()
                 for pre, post, parent, depth, item, kind, in_array, obj in walk(decode(raws[i])):
                     if elements_only and not in_array:
                         continue
                     plain = [(whole_text(k), _scalar(v)) for k, v in obj.items() if type(v) not in (dict, list)] if scalars else None
-                    for p, v in zip(put, (paths[i], lines[i], sources[i], fields["type"][i], pre, post, parent, depth, whole_text(item), whole_text(kind), in_array, plain)):
+                    for p, v in zip(put, (paths[i], lines[i], sources[i], fields["type"][i], pre, post, parent, depth, whole_text(item), whole_text(kind), in_array, plain, *more)):
                         p(v)
                 if len(rows[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
@@ -90,7 +95,8 @@ def nodes(records: DataFrame, elements_only: bool = False, scalars: bool = True)
                         c.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
-    return spread(records.select("path", "line_no", "source", "raw")).mapInArrow(run, NODE_SCHEMA)
+    copy = [F.xxhash64("source", "raw").alias("copy")] if with_copy else []
+    return spread(records.select("path", "line_no", "source", "raw", *copy)).mapInArrow(run, schema)
 
 
 def node_tables(node_rows: DataFrame, node_types: list[str]) -> dict[str, DataFrame]:
@@ -109,6 +115,27 @@ def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     return o.join(i, ["path", "line_no"]).where("o_pre < pre and o_post > post").select("path", "line_no", "outer_item", "item")
 
 
+def linked_nodes(records: DataFrame) -> DataFrame:
+    """The node tables of all records (told apart by ``node_type``), each line once, with the parent's place
+    and type: ``path, line_no, source, rtype, pre, post, parent, parent_item, parent_type, depth, item,
+    node_type, in_array, scalars``.
+
+    The parent is found by interval containment: of the nodes around a node, the one that begins last. The
+    join is on lines and their nodes without the scalars; a record itself has no parent.
+    """
+    keys = ["path", "line_no", "copy"]
+    lines = records.select("path", "line_no", "source", "raw").distinct()
+    # lines of one place that differ, if there are any, stay apart
+    found = written(nodes(lines, with_copy=True))
+    inner = found.select(*keys, "pre", "post")
+    outer = found.select(*keys, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("item").alias("o_item"), F.col("node_type").alias("o_type"))
+    around = inner.join(outer, keys).where("o_pre < pre and o_post > post")
+    nearest = around.groupBy(*keys, "pre").agg(F.max(F.struct("o_pre", "o_item", "o_type")).alias("up"))
+    linked = found.drop("parent").join(nearest, [*keys, "pre"], "left")
+    up = [F.col("up.o_pre").alias("parent"), F.col("up.o_item").alias("parent_item"), F.col("up.o_type").alias("parent_type")]
+    return linked.select("path", "line_no", "source", "rtype", "pre", "post", *up, "depth", "item", "node_type", "in_array", "scalars")
+
+
 def find_array_objects(records: DataFrame) -> DataFrame:
     """``path, line_no, item`` of every object that is an element of an array, once each."""
     return nodes(records, elements_only=True, scalars=False).select("path", "line_no", "item").distinct()

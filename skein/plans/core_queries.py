@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.render import header_markdown, turn_markdown
 from skein.operators.fold import fold_transcripts, fold_turns, most_common, number_turns, running_clock
-from skein.operators.nested import find_array_objects
+from skein.operators.nested import find_array_objects, linked_nodes
 from skein.operators.parse_rows import classify_records, find_malformed, load_index
 from skein.operators.schema_drift import changes, find_changes, unified_records
 from skein.operators.timestamps import find_odd_times, record_times
@@ -76,6 +76,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_array_objects(table(spark, d, "records"))
 
 
+@query
+def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return linked_nodes(table(spark, d, "records"))
+
+
 # --- records to turns and transcripts -------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.operators.nested import contained, find_array_objects, node_tables, nodes, walk
+import __spark_entry__ as entry
+from skein.operators.nested import contained, find_array_objects, linked_nodes, node_tables, nodes, walk
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=3), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from("abcd"), x, max_size=3), max_leaves=25)
 
@@ -47,3 +48,14 @@ def test_tables(spark):
     assert {r.scalars["x"] for r in t["m.c[]"].collect()} == {"1", "true"}
     assert {(r.outer_item, r.item) for r in contained(t["m.c[]"], t["m.c[].d[]"]).collect()} == {("m.c[0]", "m.c[0].d[0]")}
     assert find_array_objects(df.limit(0)).count() == 0
+
+
+def test_linked_tables(spark):
+    raw = '{"type":"t","m":{"c":[{"x":1,"d":[{"y":"é"},5,[{"z":null}]]},{"x":true}]}}'
+    rows = [("claude", "p", 1, raw)] * 4 + [("claude", "p", 2, "{"), (None, None, None, None), ("dsh", "p", 3, '{"s":"[{}]"}')]
+    df = spark.createDataFrame(rows, "source string, path string, line_no bigint, raw string")
+    got = sorted((r.line_no, r.item, r.parent_item, r.parent_type, r.scalars.get("x")) for r in linked_nodes(df).collect())
+    assert got == [(1, "", None, None, None), (1, "m", "", "", None), (1, "m.c[0]", "m", "m", "1"), (1, "m.c[0].d[0]", "m.c[0]", "m.c[]", None), (1, "m.c[0].d[2][0]", "m.c[0]", "m.c[]", None), (1, "m.c[1]", "m", "m", "true"), (3, "", None, None, None)]
+    walked = {(r.line_no, r.pre, r.parent) for r in nodes(df).collect()}
+    assert {(r.line_no, r.pre, r.parent) for r in linked_nodes(df).collect()} == walked
+    assert "p7_nodes" in entry.queries()
