@@ -1,9 +1,10 @@
 """Interpolated Kneser-Ney character language models, kept as sorted hash arrays.
 
-One table for each order holds the hashes of all n-grams of all languages in ascending
-order, with a row of discounted probabilities (one column a language); a second holds
-the contexts with their back-off weights. Scoring looks all positions of a batch of
-texts up at once by binary search.
+One sorted array for each order holds the hashes of all n-grams of all languages, each with
+a row of interpolated log probabilities (one column a language) and, as n-grams are the contexts of the next
+order, a row of back-off weights. Scoring looks all positions of a batch of texts up in the highest order, and
+only those not found there in the next one; a jump table by the leading bits leads to within some
+places of a hash.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ ORDER = 4
 #: Characters that the lowest order takes for possible.
 ALPHABET = 12_000
 _P = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Characters scored together, which bounds the working memory.
 CHUNK = 150_000
 
 _CODE = re.compile(r"\w[/_\\]\w|\w\.[a-zA-Z]{1,5}\b|`|://")
+#: Any match of ``_CODE`` holds one of these, and a point not at the end.
 _CODE_SIGNS = frozenset("/_\\.`:")
 _DIGITS = re.compile(r"\d+")
 
@@ -28,7 +31,7 @@ _DIGITS = re.compile(r"\d+")
 def normalise(text: str) -> str:
     """Lower case, without code-like words and digits, one space between words and around all."""
     words = text.lower().split()
-    if _CODE.search(text):
+    if ("." in text[:-1] or "/" in text or "_" in text or "`" in text or "\\" in text) and _CODE.search(text):
         words = [w for w in words if _CODE_SIGNS.isdisjoint(w) or not _CODE.search(w)]
     plain = " ".join(words)
     if _DIGITS.search(plain):
@@ -69,17 +72,52 @@ def _train_one(texts: list[str]) -> list[dict[str, np.ndarray]]:
         ctx, inverse = np.unique(context, return_inverse=True)
         total = np.bincount(inverse, weights=counts)
         types = np.bincount(inverse)
-        levels.append({"gram": kinds, "ratio": np.maximum(counts - d, 0) / total[inverse], "context": ctx, "weight": d * types / total})
+        levels.append({"gram": kinds, "prefix": context, "suffix": h[k - 2][at] if k > 1 else context, "ratio": np.maximum(counts - d, 0) / total[inverse], "context": ctx, "weight": d * types / total})
         if k > 1:
             kinds, first, counts = np.unique(h[k - 2][at], return_index=True, return_counts=True)
             at = at[first]
     return levels[::-1]
 
 
+class Table:
+    """The sorted hashes of one order's n-grams with their rows of bits; the last row is for unseen ones."""
+
+    def __init__(self, keys: np.ndarray, chance: np.ndarray, weight: np.ndarray):
+        # multiplied by an odd number, hashes spread over all leading bits
+        mixed = keys * _MIX
+        order = np.argsort(mixed)
+        self.keys, rows = mixed[order], np.append(order, len(keys))
+        self.bits, self.step_bits = -np.log2(chance[rows]).astype(np.float32), -np.log2(weight[rows]).astype(np.float32)
+        bits = max(1, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.jump = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.diff(self.jump).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash; the last one for hashes that aren't there."""
+        n = len(self.keys)
+        if not n:
+            return np.zeros(len(hashes), np.int32)
+        wanted = hashes * _MIX
+        at = self.jump[(wanted >> self.shift).astype(np.int64)]
+        out = np.full(len(wanted), n, np.int32)
+        left = np.arange(len(wanted))
+        for _ in range(self.steps):
+            key = self.keys[np.minimum(at, n - 1)]
+            hit = key == wanted
+            out[left[hit]] = at[hit]
+            # sorted keys: only those below the wanted one have it behind them
+            more = key < wanted
+            left, at, wanted = left[more], at[more] + 1, wanted[more]
+            if not len(left):
+                break
+        return out
+
+
 class CharModels:
     """Models of several languages with a shared table, a rejection bound and a confidence curve."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[Table]):
         self.langs, self.tables = langs, tables
         self.reject = np.full(len(langs), np.inf)
         self.slope, self.offset = 1.0, 0.0
@@ -90,24 +128,25 @@ class CharModels:
         langs = sorted(k for k, v in texts.items() if v)
         parts = [_train_one(texts[x]) for x in langs]
         tables = []
+        lowest = np.array([p[0]["weight"][0] if len(p[0]["weight"]) else 1.0 for p in parts]) / ALPHABET
         for k in range(ORDER):
-            out = []
-            for key, value, empty in (("gram", "ratio", 0.0), ("context", "weight", 1.0)):
-                keys = np.unique(np.concatenate([p[k][key] for p in parts])) if parts else np.zeros(0, np.uint64)
-                rows = np.full((len(keys) + 1, len(langs)), empty, dtype=np.float32)  # the last row stands for unseen
-                for j, p in enumerate(parts):
-                    rows[np.searchsorted(keys, p[k][key]), j] = p[k][value]
-                out += [keys, rows]
-            tables.append(tuple(out))
+            grams = np.concatenate([np.zeros(0, np.uint64), *(p[k]["gram"] for p in parts)])
+            keys, one = np.unique(grams, return_index=True)
+            prefix, suffix = (np.concatenate([np.zeros(0, np.uint64), *(p[k][x] for p in parts)])[one] for x in ("prefix", "suffix"))
+            chance = np.zeros((len(keys) + 1, len(langs)))
+            for j, p in enumerate(parts):
+                chance[np.searchsorted(keys, p[k]["gram"]), j] = p[k]["ratio"]
+            # what the order below gives, by the weight of the context; both are n-grams of that order
+            chance[:-1] += above[below(prefix)] * known[below(suffix)] if k else lowest
+            chance[-1] = lowest
+            above, known = np.ones((len(keys) + 1, len(langs))), chance
+            below = lambda wanted, keys=keys: np.searchsorted(keys, wanted)
+            for j, p in enumerate(parts):
+                if k + 1 < ORDER:
+                    above[below(p[k + 1]["context"]), j] = p[k + 1]["weight"]
+            tables.append(Table(keys, chance, above))
         return cls(langs, tables)
 
-    def _rows(self, keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.repeat(rows[-1:], len(wanted), axis=0)
-        at = np.searchsorted(keys, wanted)
-        at[at == len(keys)] = 0
-        return rows[np.where(keys[at] == wanted, at, len(keys))]
-
     def bits(self, texts: list[str]) -> np.ndarray:
         """Bits per character of each normalised text in each language; inf where nothing is left to score."""
         out = np.full((len(texts), len(self.langs)), np.inf)
@@ -138,19 +177,25 @@ class CharModels:
             part = part[~skip[part]]
             if not len(part):
                 continue
-            p = np.full((len(part), len(self.langs)), 1.0 / ALPHABET, dtype=np.float32)
-            for k, (grams, ratio, contexts, weight) in enumerate(self.tables):
-                context = h[k - 1][part - 1] if k else np.zeros(len(part), dtype=np.uint64)
-                p = self._rows(grams, ratio, h[k][part]) + self._rows(contexts, weight, context) * p
+            got = np.zeros((len(part), len(self.langs)), dtype=np.float32)
+            left = np.arange(len(part))
+            for k in range(ORDER - 1, -1, -1):
+                at = self.tables[k].find(h[k][part[left]])
+                hit = at < len(self.tables[k].keys) if k else np.ones(len(at), dtype=bool)
+                got[left[hit]] += self.tables[k].bits[at[hit]]
+                left = left[~hit]
+                if not len(left):
+                    break
+                got[left] += self.tables[k - 1].step_bits[self.tables[k - 1].find(h[k - 1][part[left] - 1])]
             own = owner[part]
             begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[begins]] -= np.add.reduceat(np.log2(p), begins, axis=0)
+            total[own[begins]] += np.add.reduceat(got, begins, axis=0)
         seen = size > 2
         out[seen] = total[seen] / size[seen, None]
 
-    def confidence(self, margin: float, size: int) -> float:
+    def confidence(self, margin, size):
         """Calibrated chance that a language is right which beats the next by so many bits a character."""
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin * size**0.5 + self.offset, -50, 50))))
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin * size**0.5 + self.offset, -50, 50)))
 
     def classify(self, texts: list[str], reject: bool = True) -> list[tuple[str | None, float]]:
         """(language or None, confidence) of each text. None: too little text, or rejected as unlike
@@ -170,7 +215,7 @@ class CharModels:
                 continue
             order = np.argsort(row, kind="stable")
             best = int(order[0])
-            confidence = self.confidence(row[order[1]] - row[best] if len(order) > 1 else 1.0, len(t))
+            confidence = float(self.confidence(row[order[1]] - row[best] if len(order) > 1 else 1.0, len(t)))
             ok = not reject or row[best] <= self.reject[best] * (1 + 2.0 / len(t) ** 0.5)
             result.append((self.langs[best] if ok else None, confidence if ok else 1 - confidence))
         return [result[known[t]] for t in plain]

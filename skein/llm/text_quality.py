@@ -1,339 +1,207 @@
 """Per-document text statistics, and the form of a document: prose, list, table or junk.
 
-Every line is first put into a form by its own look and that of its neighbours; the
-document takes the form that holds most of its visible characters, unless repetition
-statistics (duplicate lines and paragraphs, coverage by the commonest n-gram) show
-boilerplate. Whole texts are read; the cost is linear in their length.
+Every line is first put into a form by its own look and that of its neighbours (``lines``). The document
+starts from the form that holds most of its visible characters; then combined rules over the
+statistics (``judge``) tell prose and lists from boilerplate, noise and symbols: duplicate lines, paragraphs and
+sentences, coverage by one n-gram, share of common words, ratio of symbols. Whole texts are read; the
+cost is linear in their length, sorting aside.
 
 Defined results: a null text gives null statistics and no form; an empty text, or one
 without a visible character, gives zeros and the form ``empty``; repeated documents are
-judged alike.
+judged alike; lines and paragraphs that differ in case or spacing only are duplicates.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from skein.llm.lines import ALNUM, CJK, DIGIT, IDEOGRAM, SPACE, UPPER, VISIBLE, Lines, Words, distinct_counts, first_places, hash_runs, portions, split_sentences
 from skein.session import spread
 
-# The endings of sentences.
-ENDS = ".!?…。！？｡"
-_END = re.compile(rf"[{ENDS}][\"'”’»)\]]*\s*$")
-_SENTENCE_END = re.compile(rf"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[\"'”」』]*\s*")
-_MARK = re.compile(r"^\s*(?:[-*+•‣◦▪·–—]\s+|\[[ xX✓]?\]\s+|☐\s*|☑\s*|✓\s*|✔\s*|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][.)]\s+|\(?[ivxIVX]{1,5}[.)]\s+|[①-⑳]\s*|#\d+\s+|→\s*|>>\s+)")
-_IN_CODE = re.compile(r"\w[/_\\]\w|\w\.[a-z]{1,5}\b|\S::\S|\w\(")
-#: Any match of ``_IN_CODE`` holds one of these.
-_CODE_SIGNS = frozenset("/_\\.:(")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-_RULE = re.compile(r"^[\s|+:=\-_~*#.─━┄┈═│┃┼├┤┬┴╔╗╚╝╠╣╦╩╬]+$")
-_FENCE = re.compile(r"^\s*(```|~~~)")
-_LOG = re.compile(
-    r"^\s*(?:\[?\d{1,3}/\d{1,4}\]|\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE|NOTICE)\b|---\s|===\s|\+\+\+\s|[-dl][rwx-]{9}\s|\$ |> ?\$|>>> |Traceback|at \S+\(|ok\s{2,}|FAIL\b|PASS\b|\S+:\d+(?::\d+)?:|\d+ passed\b|[0-9a-fA-F]{6,}\s)"
-)
-_CODE = re.compile(
-    r"^\s*(?:def |class |import |from \S+ import|return\b|assert |for .+:$|for \(|while .+:$|if .+:$|elif |else:|try:|except|with .+:$|func |fn |let |const |var |public |private |static |#include|package |use \S+;|struct |SELECT |INSERT |UPDATE |@\w+)"
-    r"|[;{}]\s*$|^\s*[}\])]+[,;]?\s*$|\w+\(.*\)\s*[;{]?$|^\s*[\w.\[\]\"']+\s*(?:=|\+=|:=)\s*\S|=>|->|^\s*[\"']?\w+[\"']?\s*:\s*[\"\[{0-9]"
-)
-_SPACED = re.compile(r"\S(?: {2,}|\t)\S")
-#: A character that shows: no separator, control or format character, and none of the blank letters.
-_VISIBLE = regex.compile(r"[^\p{Z}\p{C}\u115f\u1160\u2800\u3164\uffa0]")
-
-
-# flags of a character
-VISIBLE, ALNUM, SPACE, DIGIT, UPPER, ALPHA = 1, 2, 4, 8, 16, 32
-
-
-def _flags(c: str) -> int:
-    return VISIBLE * bool(_VISIBLE.match(c)) | ALNUM * c.isalnum() | SPACE * c.isspace() | DIGIT * c.isdigit() | UPPER * c.isupper() | ALPHA * c.isalpha()
-
-
-@lru_cache(maxsize=1)
-def _flag_table() -> np.ndarray:
-    """Flags of the basic plane's characters, made once for each worker."""
-    return np.array([_flags(chr(i)) for i in range(0x10000)], dtype=np.uint8)
-
-
-def flags(text: str) -> np.ndarray:
-    """The flags of every character of a text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = _flag_table()[np.minimum(codes, 0xFFFF)]
-    for i in np.flatnonzero(codes > 0xFFFF):
-        out[i] = _flags(text[i])
-    return out
-
-
-def count(text: str, flag: int) -> int:
-    return int(np.count_nonzero(flags(text) & flag))
-
-
-class Words:
-    """The common words, split into space-separated ones and pieces of unspaced scripts."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.spaced = frozenset(w.lower() for _, w in rows if w and not _CJK.search(w))
-        pieces = sorted({w for _, w in rows if w and _CJK.search(w)}, key=lambda w: (-len(w), w))
-        self.pieces = re.compile("|".join(map(re.escape, pieces))) if pieces else re.compile("(?!)")
-        #: language votes of each word
-        self.langs: dict[str, list[str]] = {}
-        for lang, w in rows:
-            if w:
-                self.langs.setdefault(w.lower(), []).append(lang)
-
-    @classmethod
-    def of(cls, common_words: DataFrame) -> "Words":
-        """Reads the word list to the driver: it is a fixed list, not data that grows."""
-        return cls([(r.lang, r.word) for r in common_words.select("lang", "word").collect()])
-
-
-def _cells(line: str) -> tuple[str, int]:
-    """The divider of a line and how many cells it makes: the one that makes most, ``""`` if none does."""
-    body = line.strip()
-    if body.startswith("|") or body.endswith("|") or body.count("|") >= 2 or body.count("│") >= 2:
-        return "|", len([c for c in re.split(r"[|│]", body.strip("|│"))])
-    for sep in ("\t", ";"):
-        if sep in body:
-            return sep, body.count(sep) + 1
-    if "," in body and not re.search(r",\s", body):
-        return ",", body.count(",") + 1
-    if (n := len(re.split(r"\s{2,}", body))) >= 2:
-        return "  ", n
-    if body.count(",") >= 1:
-        return ", ", body.count(",") + 1
-    return "", 1
-
-
-def without_code(line: str) -> str:
-    """The line's words that don't look like paths, names or calls in code."""
-    return " ".join([w for w in line.split() if _CODE_SIGNS.isdisjoint(w) or not _IN_CODE.search(w)])
-
-
-def looks_prose(line: str, words: Words) -> bool:
-    """Running text: enough words, some of them common, few symbols."""
-    plain = without_code(line)
-    cjk = len(_CJK.findall(plain))
-    if cjk >= 6 and cjk * 3 >= count(plain, ALPHA):
-        return len(words.pieces.findall(plain)) * 14 >= cjk
-    found = _WORD.findall(plain.lower())
-    if len(found) < 4:
-        return False
-    common = sum(w in words.spaced for w in found)
-    letters = sum(map(len, found))
-    visible = len(re.sub(r"\s", "", plain))
-    return common * 7 >= len(found) and letters * 10 >= visible * 7 and letters <= 14 * len(found)
-
-
-def line_forms(text: str, words: Words) -> list[tuple[str, str]]:
-    """Each line with its form: ``prose``, ``list``, ``table``, ``junk`` or ``blank``."""
-    lines = re.split(r"\r\n|\n|\r|\u2028|\u2029", text)
-    forms = ["blank" if not _VISIBLE.search(x) else "" for x in lines]
-    fenced = False
-    for i, x in enumerate(lines):
-        if _FENCE.match(x):
-            fenced = not fenced
-            forms[i] = "junk"
-        elif fenced and forms[i] == "":
-            forms[i] = "junk"
-    # blocks of lines without a blank one between
-    i, n = 0, len(lines)
-    while i < n:
-        if forms[i] != "":
-            i += 1
-            continue
-        j = i
-        while j < n and forms[j] == "":
-            j += 1
-        _block(lines, forms, i, j, words)
-        i = j
-    return list(zip(lines, forms))
-
-
-def _block(lines: list[str], forms: list[str], lo: int, hi: int, words: Words) -> None:
-    block = lines[lo:hi]
-    # tables: neighbouring rows with the same divider and number of cells
-    kinds = [_cells(x) for x in block]
-    ruled = [bool(_RULE.match(x)) for x in block]
-    k = 0
-    while k < len(block):
-        sep, n = kinds[k]
-        m = k
-        while m < len(block) and (kinds[m] == (sep, n) or ruled[m] and (sep in ("|", "  ") or kinds[m][1] >= 2)):
-            m += 1
-        rows = [x for x, r in zip(block[k:m], ruled[k:m]) if not r]
-        if n >= 2 and len(rows) >= 2 and _is_table(rows, sep, n, words):
-            for r in range(k, m):
-                forms[lo + r] = "table"
-            k = m
-        else:
-            k += 1
-    for k, x in enumerate(block):
-        if forms[lo + k] == "" and ruled[k]:
-            near = [forms[lo + r] for r in (k - 1, k + 1) if 0 <= r < len(block)]
-            forms[lo + k] = "table" if "table" in near or any(kinds[r][0] == "|" and not ruled[r] for r in (k - 1, k + 1) if 0 <= r < len(block)) else "junk"
-    open_ = [k for k in range(len(block)) if forms[lo + k] == ""]
-    for k in open_:
-        x = block[k]
-        if _LOG.search(x):
-            forms[lo + k] = "junk"
-        elif _MARK.match(x) and 2 * count(x, ALNUM) >= count(x, VISIBLE):
-            forms[lo + k] = "list"
-    # short lines without an end are unmarked items if several stand together
-    open_ = [k for k in open_ if forms[lo + k] == ""]
-    short = {k for k in open_ if _item(block[k], words)}
-    ended = sum(bool(_END.search(block[k])) for k in open_)
-    for k in open_:
-        x = block[k]
-        if _CODE.search(x) and not (looks_prose(x, words) and _END.search(x)):
-            forms[lo + k] = "junk"
-        elif k in short and len(short) >= 3 and len(short) * 2 > len(open_) and ended * 2 < len(open_):
-            forms[lo + k] = "list"
-        elif looks_prose(x, words):
-            forms[lo + k] = "prose"
-        elif k + 1 < len(block) and forms[lo + k + 1] == "list" and x.rstrip().endswith((":", "：")):
-            forms[lo + k] = "list"
-        else:
-            forms[lo + k] = "short" if _readable(x) else "junk"
-    # a heading, or a rest too short to judge, goes with its neighbours
-    for k in range(len(block)):
-        if forms[lo + k] == "short":
-            near = [forms[lo + r] for r in (k + 1, k - 1) if 0 <= r < len(block) and forms[lo + r] != "short"]
-            forms[lo + k] = near[0] if near else "prose" if _ordinary(block[k], words) else "junk"
-
-
-def _is_table(rows: list[str], sep: str, n: int, words: Words) -> bool:
-    if sep != "|" and 2 * sum(looks_prose(x, words) and (bool(_END.search(x)) or len(x) > 80) for x in rows) >= len(rows):
-        return False  # sentences that happen to share their punctuation
-    if sep == ", ":  # prose has commas, too: rows need short cells and no sentence
-        return n >= 3 and not any(looks_prose(x, words) or _END.search(x) for x in rows)
-    if sep == "  ":
-        return sum(_LOG.search(x) is not None or _CODE.search(x) is not None for x in rows) * 2 < len(rows)
-    if sep == ";":
-        return sum(x.rstrip().endswith(";") for x in rows) * 2 < len(rows)
-    if sep == ",":
-        return sum(x.rstrip().endswith(",") or x.lstrip()[:1] in "[{\"" and x.rstrip()[-1:] in "]}," for x in rows) * 2 < len(rows)
-    return True
-
-
-def _item(line: str, words: Words) -> bool:
-    """Could be an unmarked item: short, readable, without the end of a sentence."""
-    x = line.strip()
-    if _END.search(x) or len(x) > 90 or _CODE.search(x):
-        return False
-    found = _WORD.findall(x)
-    cjk = len(_CJK.findall(x))
-    return bool(found) and (len(found) <= 12 or cjk > 0 and cjk <= 34) and _readable(x)
-
-
-def _readable(line: str) -> bool:
-    x = re.sub(r"\s", "", line)
-    letters = count(x, ALPHA)
-    return letters * 10 >= len(x) * 6 and max(map(len, line.split()), default=0) <= 60
-
-
-def _ordinary(line: str, words: Words) -> bool:
-    """A short line by itself: some word of it is common, or it ends like a sentence."""
-    found = _WORD.findall(without_code(line))
-    return bool(_END.search(line)) or any(w.lower() in words.spaced for w in found) or bool(words.pieces.search(line))
-
-
 STATS = [
     ("n_chars", "bigint"), ("n_words", "bigint"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("digit_ratio", "double"), ("upper_ratio", "double"),
     ("n_lines", "bigint"), ("end_punct_share", "double"), ("common_word_share", "double"), ("dup_line_share", "double"), ("dup_paragraph_share", "double"),
     ("top_ngram_cover", "double"), ("prose_share", "double"), ("list_share", "double"), ("table_share", "double"), ("junk_share", "double"),
 ]
+FORMS = ("prose", "list", "table", "junk")
+
+#: Bounds of the combined rules, chosen on the test tables and checked there against the annotators' labels.
+MOST_REPEATED, LEAST_COVER, MUCH_COVER = 0.6, 0.25, 0.5
+LEAST_COMMON, MOST_SYMBOLS = 0.08, 0.5
+#: Prose and list whose shares differ by less than this are told apart by how many lines end like sentences.
+EVEN, MOSTLY_ENDED = 0.1, 0.5
+
+
+def top_cover(units: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
+    """For each owner (ascending) the most characters that the copies of one n-gram of 2 to 4 units cover.
+
+    Overlapping copies count once; an n-gram that occurs once covers nothing.
+    """
+    best = np.zeros(n_owners, dtype=np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    with np.errstate(over="ignore"):
+        mixed = units.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        for n in (2, 3, 4):
+            if len(units) < n:
+                break
+            at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
+            if not len(at):
+                continue
+            gram = mixed[at]
+            for k in range(1, n):
+                gram = (gram ^ (gram >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + mixed[at + k]
+            gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + owner[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            order = np.argsort(gram, kind="stable")
+            gram, at = gram[order], at[order]
+            same = gram[1:] == gram[:-1]
+            # a copy covers its units up to where the next copy begins
+            stop = at + n
+            stop[:-1] = np.where(same, np.minimum(stop[:-1], at[1:]), stop[:-1])
+            covered = upto[stop] - upto[at]
+            begins = np.flatnonzero(np.concatenate([[True], ~same]))
+            total = np.add.reduceat(covered, begins)
+            many = np.diff(np.append(begins, len(gram))) > 1
+            np.maximum.at(best, owner[at[begins[many]]], total[many])
+    return best
+
+
+def duplicate_share(hashes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
+    """Share of each owner's characters that stand in repetitions of an earlier run."""
+    first = first_places(hashes, owner)
+    total = np.bincount(owner, sizes, minlength=n_owners)
+    kept = np.bincount(owner[first], sizes[first], minlength=n_owners)
+    return np.where(total > 0, 1 - kept / np.maximum(total, 1), 0.0)
+
+
+def repeated_sentences(sentences: list[str]) -> float:
+    """Share of the characters of four or more sentences that repeat an earlier one."""
+    plain = [s.strip().lower() for s in sentences]
+    return 1 - sum(map(len, set(plain))) / max(1, sum(map(len, plain))) if len(plain) >= 4 else 0.0
 
 
-def _top_cover(tokens: list[str], total: int) -> float:
-    """Largest share of characters that copies of one n-gram (2 to 4 words) cover."""
-    best = 0
-    for n in (2, 3, 4):
-        if len(tokens) < 2 * n:
-            break
-        gram, k = Counter(zip(*(tokens[i:] for i in range(n)))).most_common(1)[0]
-        if k > 1:
-            best = max(best, k * sum(map(len, gram)))
-    return min(1.0, best / max(1, total))
+def is_boilerplate(repeated: float, cover: float, n_units: int, n_distinct: int) -> bool:
+    """The same few sentences, or the same few words, over and over, by the share of repeated sentences (or
+    lines, or paragraphs), the coverage by one n-gram, and the number of tokens and of distinct ones."""
+    if repeated > MOST_REPEATED:
+        return cover > LEAST_COVER
+    return n_distinct * 10 <= n_units * 3 and cover > MUCH_COVER and n_units >= 20
 
 
-def is_boilerplate(sentences: list[str], tokens: list[str], visible: int) -> bool:
-    """The same few sentences or (lower-case) words over and over. The n-gram coverage is only looked at
-    where few tokens are distinct, as it can't be high elsewhere."""
-    plain = [s.strip().lower() for s in sentences]
-    repeated = 1 - sum(map(len, set(plain))) / max(1, sum(map(len, plain))) if len(plain) >= 4 else 0.0
-    low = tokens
-    if repeated <= 0.6 and len(set(low)) * 10 > len(low) * 3:
+def repeats_itself(sentences: list[str], n_units: int, n_distinct: int, wide: bool) -> bool:
+    """Whether the sentences of one text, with so many units of repetition, are boilerplate."""
+    repeated = repeated_sentences(sentences)
+    if repeated <= MOST_REPEATED and n_distinct * 10 > n_units * 3:
         return False
-    cover = _top_cover(low, visible)
-    return repeated > 0.6 and cover > 0.25 or cover > 0.5 and len(tokens) >= 20
-
-
-def describe(text: str | None, words: Words) -> tuple[list, str | None]:
-    """The values of ``STATS`` and the form of one text."""
-    if text is None:
-        return [None] * len(STATS), None
-    kinds = flags(text)
-    n_of = lambda flag: int(np.count_nonzero(kinds & flag))
-    visible = n_of(VISIBLE)
-    if not visible:
-        return [len(text), 0] + [0.0] * 4 + [0] + [0.0] * 9, "empty"
-    found = _WORD.findall(text.lower())
-    cjk = len(_CJK.findall(text))
-    n_words = len(found) if cjk * 2 < visible else cjk
-    forms = line_forms(text, words)
-    filled = [(x, f) for x, f in forms if f != "blank"]
-    size = Counter()
-    upto, at = np.concatenate([[0], np.cumsum(kinds & VISIBLE)]), 0
-    for x, f in forms:
-        end = at + len(x)
-        size[f] += int(upto[end] - upto[at])
-        at = end + 1 + (text[end : end + 2] == "\r\n")
-    size.pop("blank", None)
-    total = sum(size.values()) or 1
-    share = {f: size[f] / total for f in ("prose", "list", "table", "junk")}
-    lines = [x.strip() for x, _ in filled]
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    dup = lambda xs: 1 - sum(map(len, set(xs))) / max(1, sum(map(len, xs)))
-    sentences = [s for x in lines for s in _SENTENCE_END.split(x) if s.strip()]
-    tokens = text.lower().split() if cjk * 2 < visible else _CJK.findall(text)
-    cover = _top_cover(tokens, visible)
-    if cjk * 2 < visible:
-        common = sum(w in words.spaced for w in found) / max(1, len(found))
-    else:
-        common = sum(map(len, words.pieces.findall(text))) / cjk
-    stats = [
-        len(text), n_words, sum(map(len, found)) / max(1, len(found)), (len(text) - n_of(ALNUM | SPACE)) / max(1, visible), n_of(DIGIT) / visible,
-        n_of(UPPER) / visible, len(filled), sum(bool(_END.search(x)) for x in lines) / len(lines), common, dup(lines), dup(paragraphs), cover,
-        *(share[f] for f in ("prose", "list", "table", "junk")),
-    ]
-    form = max(("prose", "list", "table", "junk"), key=lambda f: share[f])
-    if form in ("prose", "list") and is_boilerplate(sentences, tokens, visible):
-        form = "junk"
-    if form == "prose" and cjk * 2 < visible and len(found) >= 20 and common < 0.08:
-        form = "junk"
-    return stats, form
+    joined = " ".join(sentences)
+    tokens = CJK.findall(joined) if wide else joined.lower().split()
+    ids = np.unique(np.array(tokens, dtype=object), return_inverse=True)[1]
+    cover = top_cover(ids, np.array([len(t) for t in tokens], dtype=np.int64), np.zeros(len(tokens), np.int64), 1)[0] / max(1, len(joined))
+    return is_boilerplate(repeated, float(cover), n_units, n_distinct)
+
+
+class Portion:
+    """Statistics and forms of some texts."""
+
+    def __init__(self, texts: list[str | None], words: Words):
+        self.lines = Lines(texts, words)
+        self.forms = self.lines.forms()
+        ls, n = self.lines, self.lines.n_docs
+        self.visible, self.cjk = ls.in_docs(VISIBLE), ls.in_docs(IDEOGRAM)
+        self.wide = ls.wide
+        t = ls.tokens
+        t_doc, t_size, t_hash = ls.doc[t["line"]], t["end"] - t["start"], ls.token_hashes
+        unit, size, line = ls.units(np.ones(ls.n, dtype=bool))
+        owner = ls.doc[line]
+        self.n_units, self.n_distinct = np.bincount(owner, minlength=n), distinct_counts(unit, owner, n)
+        self.cover = np.minimum(1.0, top_cover(unit, size, owner, n) / np.maximum(1, self.visible))
+        self.dup_lines = self._duplicates(t_hash, t_size, t["line"], t_doc, n)
+        # paragraphs are runs of lines without one of white space between
+        bare = ls.right == ls.left
+        begins = ~bare
+        begins[1:] &= bare[:-1] | (ls.doc[1:] != ls.doc[:-1])
+        self.dup_paragraphs = self._duplicates(t_hash, t_size, np.cumsum(begins)[t["line"]] if len(begins) else t["line"], t_doc, n)
+
+    @staticmethod
+    def _duplicates(hashes: np.ndarray, sizes: np.ndarray, run: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        if not len(run):
+            return np.zeros(n)
+        begins = np.flatnonzero(np.diff(run, prepend=-1))
+        return duplicate_share(hash_runs(hashes, begins, np.append(begins[1:], len(run))), np.add.reduceat(sizes, begins), doc[begins], n)
+
+    def sentences(self, i: int) -> list[str]:
+        ls = self.lines
+        return [s for x in ls.lines[ls.first[i] : ls.last[i]] for s in split_sentences(x.strip()) if s.strip()]
+
+    def describe(self) -> tuple[dict[str, np.ndarray], list[str]]:
+        """The values of ``STATS`` and the form of each text; null texts count as empty."""
+        ls, n = self.lines, self.lines.n_docs
+        w = ls.word_runs
+        w_doc = ls.doc[w["line"]]
+        n_words, letters = np.bincount(w_doc, minlength=n), np.bincount(w_doc, w["end"] - w["start"], minlength=n)
+        common = np.bincount(w_doc, w["common"], minlength=n) / np.maximum(1, n_words)
+        for i in np.flatnonzero(self.wide & (self.visible > 0)).tolist():
+            common[i] = sum(map(len, ls.words.pieces.findall(ls.text[ls.doc_start[i] : ls.doc_end[i]]))) / self.cjk[i]
+        kind = np.array([FORMS.index(f) if f != "blank" else 4 for f in self.forms])
+        shown = ls.count(VISIBLE)
+        parts = np.bincount(ls.doc * 5 + kind, shown, minlength=5 * n).reshape(n, 5)[:, :4] if n else np.zeros((0, 4))
+        share = parts / np.maximum(1, parts.sum(axis=1, keepdims=True))
+        filled = kind != 4
+        n_lines = np.bincount(ls.doc[filled], minlength=n)
+        size, some = ls.doc_end - ls.doc_start, self.visible > 0
+        visible = np.maximum(1, self.visible)
+        stats = {
+            "n_chars": size, "n_words": np.where(self.wide, self.cjk, n_words), "mean_word_length": letters / np.maximum(1, n_words),
+            "symbol_ratio": (size - ls.in_docs(ALNUM | SPACE)) / visible, "digit_ratio": ls.in_docs(DIGIT) / visible, "upper_ratio": ls.in_docs(UPPER) / visible, "n_lines": n_lines,
+            "end_punct_share": np.bincount(ls.doc, ls.ended & filled, minlength=n) / np.maximum(1, n_lines), "common_word_share": common, "dup_line_share": self.dup_lines,
+            "dup_paragraph_share": self.dup_paragraphs, "top_ngram_cover": self.cover, **{f"{f}_share": share[:, k] for k, f in enumerate(FORMS)},
+        }
+        stats = {k: v if k == "n_chars" else np.where(some, v, 0) for k, v in stats.items()}
+        top = share.argmax(axis=1) if n else []
+        return stats, [self.judge(i, FORMS[k], stats, int(n_words[i])) if ok else "empty" for i, (k, ok) in enumerate(zip(top, some.tolist()))]
+
+    def judge(self, i: int, form: str, stats: dict[str, np.ndarray], n_words: int) -> str:
+        """The form of a text whose characters are mostly of ``form``, by all its statistics."""
+        if form not in ("prose", "list"):
+            return form
+        at = {k: float(v[i]) for k, v in stats.items()}
+        if abs(at["prose_share"] - at["list_share"]) < EVEN:
+            form = "prose" if at["end_punct_share"] >= MOSTLY_ENDED else "list"
+        # boilerplate: lines, paragraphs or sentences over again, or one n-gram that covers the text
+        if at["top_ngram_cover"] > LEAST_COVER:
+            repeated = max(at["dup_line_share"], at["dup_paragraph_share"]) if at["n_lines"] >= 4 else 0.0
+            if repeated <= MOST_REPEATED:
+                repeated = max(repeated, repeated_sentences(self.sentences(i)))
+            if is_boilerplate(repeated, at["top_ngram_cover"], int(self.n_units[i]), int(self.n_distinct[i])):
+                return "junk"
+        # noise: hardly a common word among many, or mostly symbols
+        if form == "prose" and not self.wide[i] and n_words >= 20 and at["common_word_share"] < LEAST_COMMON or at["symbol_ratio"] > MOST_SYMBOLS:
+            return "junk"
+        return form
+
+
+def describe(texts: list[str | None], words: Words) -> tuple[dict[str, np.ndarray], list[str | None]]:
+    """``Portion.describe`` of any number of texts; null texts have no form."""
+    parts = [Portion(texts[lo:hi], words).describe() for lo, hi in portions(texts)]
+    stats = {k: np.concatenate([p[0][k] for p in parts]) if parts else np.zeros(0) for k, _ in STATS}
+    return stats, [None if t is None else f for t, f in zip(texts, [f for p in parts for f in p[1]])]
 
 
 def text_stats(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id``, the statistics of ``STATS`` and ``form`` for every document. No shuffle."""
     words = Words.of(common_words)
-    kinds = [pa.int64(), *(pa.int64() if t == "bigint" else pa.float64() for _, t in STATS), pa.string()]
+    kinds = [pa.int64() if t == "bigint" else pa.float64() for _, t in STATS]
     names = ["doc_id", *(n for n, _ in STATS), "form"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                stats, form = describe(t, words)
-                rows.append([i, *stats, form])
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names)
+            texts = b.column("text").to_pylist()
+            stats, forms = describe(texts, words)
+            null = np.array([t is None for t in texts], dtype=bool)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(stats[k].astype(t.to_pandas_dtype()), t, mask=null) for (k, _), t in zip(STATS, kinds)), pa.array(forms, pa.string())], names)
 
     schema = "doc_id bigint, " + ", ".join(f"{n} {t}" for n, t in STATS) + ", form string"
     return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)

@@ -1,10 +1,17 @@
+import os
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from skein.llm.char_models import CharModels, normalise
-from skein.llm.language import code_of, find_unnamed_languages, fit, label_documents, label_segments, segments
-from skein.llm.text_quality import Words, count, describe, find_not_prose, line_forms, text_stats, VISIBLE
+from skein.llm.language import code_of, find_unnamed_languages, fit, label_documents, label_segments, segments_of, smallest
+from skein.llm.lines import CJK, VISIBLE, Lines, Words, codes_of, flags, line_forms, portions, split_sentences, without_code
+from skein.llm.text_quality import STATS, describe, find_not_prose, text_stats, top_cover
 
 COMMON = {
     "en": "the of and to in is that it was for on are with as be this have from or by not", "de": "der die das und ist nicht ich ein eine den dass mit auf für von zu es sich wenn",
@@ -59,9 +66,9 @@ def test_labels_in_any_spelling():
 
 def test_segments(models):
     text = prose("en", 4) + " " + prose("de", 3) + "\n\n- der die das\n- und ist nicht\n- ein eine den\n"
-    assert [(s[0], round(s[2])) for s in segments(text, WORDS, models)] == [("en", 4), ("de", 3)]
+    assert [(s[0], round(s[2])) for s in segments_of([text], WORDS, models)[0]] == [("en", 4), ("de", 3)]
     lost = prose("fr", 6).replace(".", "").replace(",", "")
-    (lang, _, n, _, _), *rest = segments(lost, WORDS, models)
+    (lang, _, n, _, _), *rest = segments_of([lost], WORDS, models)[0]
     assert lang == "fr" and not rest and 4 < n < 9
 
 
@@ -114,13 +121,80 @@ FORMS = [
 
 @pytest.mark.parametrize("text,form", FORMS, ids=[str(i) for i in range(len(FORMS))])
 def test_forms(text, form):
-    assert describe(text, WORDS)[1] == form
+    assert describe([text], WORDS)[1] == [form]
 
 
 def test_statistics():
-    stats = dict(zip(["n_chars", "n_words", "mean", "symbols", "digits", "upper", "lines", "ends", "common"], describe("The cat is 7.\nThe cat is 7.", WORDS)[0]))
-    assert (stats["n_chars"], stats["n_words"], stats["mean"], stats["lines"], stats["ends"]) == (27, 6, 8 / 3, 2, 1.0) and stats["common"] == 4 / 6 and stats["digits"] == 2 / 20
-    assert count("a ​ㅤ😀é", VISIBLE) == 3 and [f for _, f in line_forms("x\r\n\r\ny", WORDS)][1] == "blank"
+    got, _ = describe(["", "The cat is 7.\nthe  cat is 7.", None], WORDS)
+    stats = {k: v[1] for k, v in got.items()}
+    assert list(got) == [k for k, _ in STATS] and (stats["n_chars"], stats["n_words"], stats["mean_word_length"], stats["n_lines"], stats["end_punct_share"]) == (28, 6, 8 / 3, 2, 1.0)
+    assert stats["common_word_share"] == 4 / 6 and stats["digit_ratio"] == 2 / 20 and stats["dup_line_share"] == 0.5 and stats["dup_paragraph_share"] == 0.0
+    assert np.count_nonzero(flags(codes_of("a ​ㅤ😀é")) & VISIBLE) == 3 and [f for _, f in line_forms("x\r\n\r\ny", WORDS)][1] == "blank"
+
+
+def cover_by_hand(tokens):
+    best = 0
+    for n in (2, 3, 4):
+        at = {}
+        for i in range(len(tokens) - n + 1):
+            at.setdefault(tuple(tokens[i : i + n]), []).append(i)
+        best = max([best] + [sum(len(tokens[k]) for k in {i + j for i in places for j in range(n)}) for places in at.values() if len(places) > 1])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "bb", "ccc", "d"]), max_size=14), min_size=1, max_size=4))
+def test_cover_by_one_ngram(texts):
+    units, sizes, owner = (np.array(x, dtype=np.int64) for x in ([hash(t) & 0xFFFF for ts in texts for t in ts], [len(t) for ts in texts for t in ts], [i for i, ts in enumerate(texts) for _ in ts]))
+    assert top_cover(units, sizes, owner, len(texts)).tolist() == [cover_by_hand(ts) for ts in texts]
+    assert top_cover(*(np.array(x) for x in ([1] * 3 + list(range(2, 9)), [1] * 10, [0] * 10)), 1).tolist() == [3]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aZé7 \t\r\n.,;:|│/_(\"'’`~-我の。\u2028\u3000😀", max_size=60), min_size=1, max_size=5))
+def test_line_features_by_hand(texts):
+    got = Lines(texts, WORDS)
+    lines = [x for t in texts for x in re.split(r"\r\n|\n|\r|\u2028|\u2029", t)]
+    assert got.lines == lines and len(got.forms()) == len(lines)
+    word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+    assert got._per_line(got.word_runs["line"]).tolist() == [len(word.findall(x)) for x in lines]
+    assert got.plain["words"].tolist() == [len(word.findall(without_code(x))) for x in lines] and got.plain["cjk"].tolist() == [len(CJK.findall(without_code(x))) for x in lines]
+    assert got.ended.tolist() == [bool(re.search(r"[.!?…。！？｡][\"'”’»)\]]*\s*$", x)) for x in lines]
+    assert got.longest.tolist() == [max(map(len, x.split()), default=0) for x in lines]
+    cut = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？｡])[\"'”」』]*\s*")
+    assert [split_sentences(x) for x in lines] == [cut.split(x) for x in lines]
+    whole = [f for a, b in portions(texts) for f in Lines(texts[a:b], WORDS).forms()]
+    assert whole == [f for t in texts for _, f in line_forms(t, WORDS)]
+
+
+def test_smallest_hashes_of_each_code(spark):
+    rows = [("a" if i % 3 else "b", i, (i * 7919) % 1009 - 500) for i in range(900)]
+    want = {(c, d) for c in "ab" for d in [d for _, d in sorted((h, d) for x, d, h in rows if x == c)[:50]]}
+    df = spark.createDataFrame(rows, "code string, doc_id bigint, h bigint").repartition(5)
+    assert {tuple(r) for r in smallest(df, 50).collect()} == want and smallest(df.limit(0), 5).count() == 0
+
+
+TABLES = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_against_the_annotators(spark):
+    """Where annotators agree by majority, at least 95 of 100 forms and main languages are theirs; where two or more do, 99 forms."""
+    docs_, words, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "common_words", "labels"))
+    opinions = labels.collect()
+    ids = sorted({r.doc_id for r in opinions})
+    some = docs_.join(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"), "doc_id").collect()
+    forms = dict(zip([r.doc_id for r in some], describe([r.text for r in some], Words.of(words))[1]))
+    votes, n = {}, {}
+    for r in opinions:
+        if r.form in ("prose", "list", "table", "junk"):
+            votes.setdefault(r.doc_id, Counter())[r.form] += 1
+    clear = {d: c.most_common(1)[0][0] for d, c in votes.items() if len(c) == 1 or c.most_common(2)[0][1] > c.most_common(2)[1][1]}
+    n = {d: sum(c.values()) for d, c in votes.items()}
+    right = {d for d, f in clear.items() if forms.get(d) == f}
+    assert len(clear) > 300 and len(right) >= 0.95 * len(clear)
+    sure = {d for d in clear if n[d] >= 2}
+    assert len(sure) > 50 and len(right & sure) >= 0.99 * len(sure)
 
 
 def test_tables(spark):
