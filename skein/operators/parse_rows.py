@@ -7,8 +7,8 @@ strict, line-at-a-time diagnosis that names the reason.
 Defined results for odd input (all covered by tests): a null or empty record line
 is ``skipped``; the literal ``null`` is ``skipped``; white space alone is
 ``malformed`` for claude and codex and ``skipped`` for dsh; a null or unknown source
-is checked for its ``type`` only; a line nested deeper than the JSON parser's limit
-is ``malformed`` (``too_deep``); repeated rows are classified alike.
+is checked for its ``type`` only; lines may be nested to any depth; of a key that a record repeats every
+value must be of its type; repeated rows are classified alike.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ import pyarrow.json as pjson
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.json_text import BLANKS, read, read_deep
 from skein.session import spread
 
 RECORD, MALFORMED, SKIPPED = 0, 1, 2
 STATUS = np.array(["record", "malformed", "skipped"], dtype=object)
 BLOCK_LINES = 128
-#: Above this many opening brackets a line goes to the strict parser, which knows a depth limit.
+#: A line of more opening brackets goes to the strict parser at once, as Arrow's reader has a limit to its depth.
 DEEP = 800
 
 # The envelope fields of each source and their JSON types.
@@ -44,7 +45,6 @@ ENVELOPE = {
 INDEX_FIELDS = ["source", "id", "path", "cwd", "bytes", "mod_time"]
 
 _ARROW = {"string": pa.string(), "int": pa.int64()}
-_BLANKS = " \t\r\n"
 #: Arrow's reader takes these words as numbers, RFC 8259 doesn't.
 _NOT_FINITE = r"[\[:,\s-](?:NaN|Inf|Infinity)[\s,\]}]"
 #: Unicode White_Space.
@@ -70,17 +70,6 @@ def _refuse(name: str):
 _STRICT = json.JSONDecoder(object_pairs_hook=_Pairs, parse_constant=_refuse, parse_int=lambda s: 0, parse_float=lambda s: 0.5)
 
 
-_TOLERANT = json.JSONDecoder(parse_int=lambda s: int(s) if len(s) < 4000 else float("inf"))
-
-
-def decode(line: str):
-    """The value of a line already found good; integers of any length are let through."""
-    try:
-        return json.loads(line)
-    except ValueError:
-        return _TOLERANT.decode(line.strip(_BLANKS))
-
-
 def json_type(value) -> str:
     if value is None:
         return "null"
@@ -102,11 +91,12 @@ def diagnose(line: str | None, source: str | None) -> tuple[int, str | None]:
     if _WHITE.fullmatch(line):
         return (SKIPPED, None) if source == "dsh" else (MALFORMED, "blank_line")
     try:
-        value = _STRICT.decode(line.strip(_BLANKS))
-    except RecursionError:
-        return MALFORMED, "too_deep"
+        try:
+            value = _STRICT.decode(line.strip(BLANKS))
+        except RecursionError:
+            value = read_deep(line.strip(BLANKS), _Pairs, lambda s: 0)
     except ValueError as e:
-        text = line.strip(_BLANKS)
+        text = line.strip(BLANKS)
         if text.startswith("\ufeff"):
             return MALFORMED, "byte_order_mark"
         at = getattr(e, "pos", None)
@@ -168,7 +158,7 @@ def parse_lines(raw: pa.Array, source: str | None, wanted: tuple[str, ...] = ())
     fields = {k: np.full(n, None, dtype=object) for k in wanted}
     kinds = ENVELOPE.get(source, ENVELOPE[None])
     schema = pa.schema([(k, _ARROW[v]) for k, v in kinds.items()])
-    trimmed = pc.utf8_trim(raw, characters=_BLANKS)
+    trimmed = pc.utf8_trim(raw, characters=BLANKS)
     framed = pc.and_(pc.starts_with(trimmed, "{"), pc.ends_with(trimmed, "}"))
     depth = pc.add(pc.count_substring(trimmed, "{"), pc.count_substring(trimmed, "["))
     plain = pc.and_(pc.less(depth, DEEP), pc.invert(pc.match_substring_regex(trimmed, _NOT_FINITE)))
@@ -188,7 +178,7 @@ def parse_lines(raw: pa.Array, source: str | None, wanted: tuple[str, ...] = ())
         line = raw[int(i)].as_py()
         status[i], reason[i] = diagnose(line, source)
         if status[i] == RECORD and wanted:  # e.g. a lone surrogate, which Arrow refuses and RFC 8259 allows
-            value = decode(line)
+            value = read(line)
             for k in wanted:
                 fields[k][i] = whole_text(value.get(k))
     return status, reason, fields

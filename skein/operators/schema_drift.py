@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.parse_rows import RECORD, by_source, decode, json_type, whole_text
+from skein.functions.json_text import read, write
+from skein.operators.parse_rows import RECORD, by_source, json_type, whole_text
 from skein.session import spread, written
 
 #: Values kept of a column: the K smallest hashes of distinct values, an unbiased sample of them.
 SKETCH_K = 64
-#: A column with fewer distinct values than this is compared by its values, a richer one by their shapes.
-FEW_VALUES = 48
+#: Distinct values of a known column, often repeated, at which they and their shapes weigh the same; the fewer there
+#: are, and the more they repeat, the more the values count.
+EVEN_VALUES = 48
 MATCH_LEAST = 0.5
 
 
@@ -88,7 +90,7 @@ def shape(value) -> str:
     are alike), magnitude of a number, keys of an object."""
     kind = json_type(value)
     if kind == "string":
-        seen = set(value[:64])
+        seen = set(value)
         has = 0
         for c in seen:
             has |= _class_of(c)
@@ -103,16 +105,16 @@ def shape(value) -> str:
 def digest(value) -> int:
     if isinstance(value, dict):
         value = "\0".join(sorted(value))
-    return xxhash.xxh64_intdigest(value if isinstance(value, str) else json.dumps(value), seed=7)
+    return xxhash.xxh64_intdigest(value if isinstance(value, str) else write(value), seed=7)
 
 
 class Sketch:
-    """Count, JSON types, K smallest value hashes, all shapes and commonest object keys of a column."""
+    """Count, JSON types, all shapes, and the K smallest hashes of the values and of the object keys of a column."""
 
     __slots__ = ("n", "kinds", "low", "shapes", "keys")
 
     def __init__(self):
-        self.n, self.kinds, self.low, self.shapes, self.keys = 0, {}, set(), {}, {}
+        self.n, self.kinds, self.low, self.shapes, self.keys = 0, {}, set(), {}, set()
 
     def add(self, value) -> None:
         self.n += 1
@@ -121,42 +123,54 @@ class Sketch:
         self.low.add(digest(value))
         s = shape(value)
         self.shapes[s] = self.shapes.get(s, 0) + 1
-        for k in value if kind == "object" else {j for x in value if isinstance(x, dict) for j in x} if kind == "array" else ():
-            self.keys[k] = self.keys.get(k, 0) + 1
+        inside = value if kind == "object" else {j for x in value if isinstance(x, dict) for j in x} if kind == "array" else ()
+        self.keys.update(xxhash.xxh64_intdigest(k, seed=7) for k in inside)
         if len(self.low) > 8 * SKETCH_K or len(self.keys) > 8 * SKETCH_K:
             self.trim()
 
     def trim(self) -> "Sketch":
-        self.low = set(heapq.nsmallest(SKETCH_K, self.low))
-        if len(self.keys) > SKETCH_K:
-            self.keys = dict(sorted(self.keys.items(), key=lambda x: (-x[1], x[0]))[:SKETCH_K])
+        self.low, self.keys = set(heapq.nsmallest(SKETCH_K, self.low)), set(heapq.nsmallest(SKETCH_K, self.keys))
         return self
 
     def merge(self, o: "Sketch") -> "Sketch":
         self.n += o.n
         self.low |= o.low
-        for mine, other in ((self.kinds, o.kinds), (self.shapes, o.shapes), (self.keys, o.keys)):
+        self.keys |= o.keys
+        for mine, other in ((self.kinds, o.kinds), (self.shapes, o.shapes)):
             for k, v in other.items():
                 mine[k] = mine.get(k, 0) + v
         return self.trim()
 
     def dump(self) -> str:
         self.trim()
-        return json.dumps([self.n, self.kinds, sorted(self.low), self.shapes, self.keys])
+        return json.dumps([self.n, self.kinds, sorted(self.low), self.shapes, sorted(self.keys)])
 
     @classmethod
     def load(cls, text: str) -> "Sketch":
         self = cls()
-        self.n, self.kinds, low, self.shapes, self.keys = json.loads(text)
-        self.low = set(low)
+        self.n, self.kinds, low, self.shapes, keys = json.loads(text)
+        self.low, self.keys = set(low), set(keys)
         return self
 
+    def distinct(self) -> float:
+        """Estimated number of distinct values: exact below K, else by the K-th smallest hash."""
+        self.trim()
+        return float(len(self.low)) if len(self.low) < SKETCH_K else (SKETCH_K - 1) * 2.0**64 / max(self.low)
+
 
 def _covered(found: dict[str, int], known: dict[str, int]) -> float:
     """Share of the found shapes that the known column also shows; holds for few values, too."""
     return sum(v for k, v in found.items() if k in known) / (sum(found.values()) or 1)
 
 
+def _contained(found: set[int], known: set[int]) -> float | None:
+    """Estimated share of the found hashes that the known column has: among those up to the largest hash
+    that a full sketch keeps, as of others nothing is known. None if there is none to tell by."""
+    top = heapq.nsmallest(SKETCH_K, known)[-1] if len(known) >= SKETCH_K else math.inf
+    told = [h for h in found if h <= top]
+    return sum(h in known for h in told) / len(told) if told else None
+
+
 def name_similarity(a: str, b: str) -> float:
     def grams(s: str) -> set[str]:
         s = re.sub(r"[^a-z0-9]", "", s.lower())
@@ -173,11 +187,15 @@ def score(known: Sketch, found: Sketch, field: str, name: str, kinds: frozenset[
     if fit < 0.5:
         return 0.0
     if {"object", "array"} & set(found.kinds):
-        content = len(set(found.keys) & set(known.keys)) / max(1, len(set(found.keys))) if found.keys else 0.3
+        shared = _contained(found.keys, known.keys)
+        content = 0.3 if shared is None else shared
     else:
-        few = len(known.low) < FEW_VALUES
-        shared = len(found.low & known.low) / max(1, len(found.low)) if few else 0.0
-        content = shared if few else _covered(found.shapes, known.shapes)
+        # one score at every size: a column of few values is known by them, one of ids or texts by their look
+        covered, shared = _covered(found.shapes, known.shapes), _contained(found.low, known.low)
+        distinct = known.distinct()
+        repeats = max(0.0, 1 - (distinct - 1) / max(1, known.n))
+        by_value = repeats * EVEN_VALUES / (EVEN_VALUES + distinct)
+        content = covered if shared is None else by_value * shared + (1 - by_value) * covered
     return fit * (0.75 * content + 0.25 * name_similarity(field, name))
 
 
@@ -267,7 +285,7 @@ def profile(records: DataFrame, catalog: Catalog) -> DataFrame:
             sketches: dict[tuple, Sketch | None] = {}
             source, path, raw = (b.column(c).to_pylist() for c in ("source", "path", "raw"))
             for i in np.flatnonzero(status == RECORD).tolist():
-                record, s, p = decode(raw[i]), source[i], path[i]
+                record, s, p = read(raw[i]), source[i], path[i]
                 rtype = rtype_of(s, record)
                 if rtype is None:
                     continue
@@ -338,14 +356,18 @@ def _batch(rows: list[tuple], keys: list[str], schema: pa.Schema) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(c).type) for i, c in enumerate([*keys, "sketch"])], [*keys, "sketch"])
 
 
+#: Second-level groups of a key's sketches.
+SALTS = 256
+
+
 def merge_profiles(profiles: DataFrame) -> DataFrame:
-    """One row and sketch for each key. Rows of a hot key number at most one for each batch of the
-    scan; a first merge inside salted partitions bounds what the last one reads."""
+    """One row and sketch for each key, in three levels: within a scan partition, then of one salt, then all. A
+    key that every record has gets one sketch from each scan partition into ``SALTS`` tasks, and so many into one."""
     keys = [c for c in _NAMES if c != "sketch"]
-    schema = ", ".join(c.strip() for c in _PROFILE.split(","))
     shuffle = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = profiles.sortWithinPartitions(*keys).mapInArrow(_merge_rows(keys), schema)
-    return near.repartition(shuffle, *keys).sortWithinPartitions(*keys).mapInArrow(_merge_rows(keys), schema)
+    level = lambda rows: rows.sortWithinPartitions(*keys).mapInArrow(_merge_rows(keys), _PROFILE)
+    salted = level(profiles).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return level(level(salted.repartition(shuffle, *keys, "salt").drop("salt")).repartition(shuffle, *keys))
 
 
 def changes(records: DataFrame, field_catalog: DataFrame) -> DataFrame:
@@ -398,19 +420,18 @@ def unified_records(records: DataFrame, field_catalog: DataFrame, change_rows: D
     Renamed fields get their listed name back, values of an unlisted type are cast where the
     text allows it (digits to int, scalars to string) and else moved into ``_other`` beside
     unlisted fields, so that nothing is lost and each listed field has one type.
-    ``change_rows`` comes from :func:`changes`; its renames number at most
-    (schema fields x new names), far below the data.
+    ``change_rows`` comes from :func:`changes`. A rename holds for its path only; if there one new name
+    stands for several fields, it is taken for the first by name that a record lacks. The renames are
+    joined on the path, one row each: Spark broadcasts them as long as their size allows it.
     """
     catalog = Catalog.of(field_catalog)
-    back: dict[tuple[str, str, str], str] = {
-        (r.source, r.rtype, r.new_name): r.field.rpartition(".")[2] for r in change_rows.where("change = 'renamed'").select("source", "rtype", "new_name", "field").distinct().collect()
-    }
+    renames = change_rows.where("change = 'renamed'").groupBy("path").agg(F.array_sort(F.collect_set(F.struct("source", "rtype", "new_name", "field"))).alias("renames"))
 
-    def fit(obj: dict, place: str, places: dict, s: str, rtype: str) -> dict:
+    def fit(obj: dict, place: str, places: dict, back: dict[str, list[str]]) -> dict:
         known, out, other = places.get(place, {}), {}, {}
         for k, v in obj.items():
             here = f"{place}.{k}" if place else k
-            if k not in known and (old := back.get((s, rtype, here))) is not None and old not in obj:
+            if k not in known and (old := next((x for x in back.get(here, ()) if x not in obj), None)) is not None:
                 k, here = old, f"{place}.{old}" if place else old
             if k not in known:
                 other[k] = v
@@ -418,9 +439,9 @@ def unified_records(records: DataFrame, field_catalog: DataFrame, change_rows: D
             kinds, kind = known[k][0], json_type(v)
             if kind == "null" or "any" in kinds or kind in kinds:
                 if kind == "object" and here in places:
-                    v = fit(v, here, places, s, rtype)
+                    v = fit(v, here, places, back)
                 elif kind == "array" and f"{here}[]" in places:
-                    v = [fit(x, f"{here}[]", places, s, rtype) if isinstance(x, dict) else x for x in v]
+                    v = [fit(x, f"{here}[]", places, back) if isinstance(x, dict) else x for x in v]
                 out[k] = v
             elif "int" in kinds and kind == "string" and re.fullmatch(r"-?[0-9]{1,18}", v):
                 out[k] = int(v)
@@ -435,13 +456,19 @@ def unified_records(records: DataFrame, field_catalog: DataFrame, change_rows: D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             status, _, _ = by_source(b)
+            cols = [b.column(c).to_pylist() for c in ("source", "path", "line_no", "raw", "renames")]
             out = []
             for i in np.flatnonzero(status == RECORD).tolist():
-                s, p, n, raw = (b.column(c)[i].as_py() for c in ("source", "path", "line_no", "raw"))
-                record = decode(raw)
+                s, p, n, raw, renamed = (c[i] for c in cols)
+                record = read(raw)
                 rtype = rtype_of(s, record)
                 if rtype is not None:
-                    out.append((s, p, n, rtype, json.dumps(fit(record, "", catalog.objects.get((s, rtype), {"": {}}), s, rtype))))
+                    back: dict[str, list[str]] = {}
+                    for x in renamed or ():
+                        if x["source"] == s and x["rtype"] == rtype:
+                            back.setdefault(x["new_name"], []).append(x["field"].rpartition(".")[2])
+                    out.append((s, p, n, rtype, write(fit(record, "", catalog.objects.get((s, rtype), {"": {}}), back))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()])], ["source", "path", "line_no", "rtype", "doc"])
 
-    return spread(records.select("source", "path", "line_no", "raw")).mapInArrow(run, "source string, path string, line_no bigint, rtype string, doc string")
+    lines = spread(records.select("source", "path", "line_no", "raw")).join(renames, "path", "left")
+    return lines.select("source", "path", "line_no", "raw", "renames").mapInArrow(run, "source string, path string, line_no bigint, rtype string, doc string")

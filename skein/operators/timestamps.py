@@ -7,18 +7,22 @@ the driver from a named version of the IANA data and sent to all tasks.
 
 Defined results: missing, null, blank or unreadable times, times of no existing date
 and instants at or before the epoch give no instant (null ``utc_ms``); a wall-clock time
-on a machine without a known zone gives none either; fractions are rounded down.
+on a machine without a known zone gives none either; fractions are rounded down. Wall
+times before 1850 count with the zone's first offset, those from 2500 on by the rules of 400 years
+before. Bare digits of fewer than 9 or more than 19 places are no time.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from importlib import resources
 from pathlib import Path
-from zoneinfo import TZPATH, ZoneInfo
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 from skein.operators.parse_rows import RECORD, by_source
 from skein.session import spread
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years of the tables. Behind them the rules of a zone repeat as the calendar does, every 400 years; to that end the
+#: tables span 400 years without a change of rules.
+FIRST_YEAR, RULES_YEAR, LAST_YEAR = 1850, 2100, 2500
+_ERA = 146_097 * 86_400
 
 # Offsets in minutes of abbreviations that the machine's own zone doesn't use.
 ABBREVIATIONS = {
@@ -39,6 +46,16 @@ ABBREVIATIONS = {
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _second(year: int) -> int:
+    return int((datetime(year, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+
+
+_LAST_SECOND = _second(LAST_YEAR)
+
+
 @dataclass(frozen=True)
 class Zone:
     """Wall seconds from which each offset holds, the offsets, and the zone's abbreviations."""
@@ -48,7 +65,8 @@ class Zone:
     names: dict[str, int]
 
     def to_utc(self, wall: np.ndarray) -> np.ndarray:
-        return wall - self.offset[np.searchsorted(self.switch, wall, side="right")]
+        beyond = np.maximum(0, (wall - _LAST_SECOND) // _ERA + 1)
+        return wall - self.offset[np.searchsorted(self.switch, wall - beyond * _ERA, side="right")]
 
 
 def tzdata_version() -> str:
@@ -65,27 +83,44 @@ def tzdata_version() -> str:
         return "unknown"
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=1)
+def zone_files() -> dict[str, bytes]:
+    """The compiled rules of all zones on this machine, by name: some 600 of a few kB, whatever the data. They are read
+    on the driver and sent to all tasks, which thus use one version."""
+    out: dict[str, bytes] = {}
+    for name in sorted(available_timezones()):
+        for place in TZPATH:
+            if (file := Path(place, name)).is_file():
+                out[name] = file.read_bytes()
+                break
+        else:
+            package, _, leaf = f"tzdata.zoneinfo/{name}".rpartition("/")
+            out[name] = resources.files(package.replace("/", ".")).joinpath(leaf).read_bytes()
+    return out
+
+
 def zone(name: str) -> Zone | None:
-    """Transition table of a zone. At a change from offset a to b at instant t the new offset
+    """Transition table of a zone of this machine, or None for a name that is none."""
+    rules = zone_files().get(name)
+    return None if rules is None else table_of(rules)
+
+
+@lru_cache(maxsize=1024)
+def table_of(rules: bytes) -> Zone:
+    """Transition table by compiled rules. At a change from offset a to b at instant t the new offset
     holds from wall time t + max(a, b) on: a skipped wall time then counts with the offset
     before the change, and of a repeated one the earlier instant is taken."""
-    try:
-        tz = ZoneInfo(name)
-    except Exception:
-        return None
-    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    tz = ZoneInfo.from_file(io.BytesIO(rules))
 
     def at(second: int) -> tuple[int, str]:
-        local = (epoch + timedelta(seconds=second)).astimezone(tz)
+        local = (_EPOCH + timedelta(seconds=second)).astimezone(tz)
         return int(local.utcoffset().total_seconds()), local.tzname()
 
-    start = int((datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
-    end = int((datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
-    step = 7 * 86400
+    start, week = _second(FIRST_YEAR), 7 * 86400
     switch, offsets, names = [], [at(start)[0]], {}
     before, now = start, offsets[0]
-    for t in range(start + step, end, step):
+    # rules of this century may change offsets for some days; later on they do so for months
+    for t in [*range(start + week, _second(RULES_YEAR), week), *range(_second(RULES_YEAR), _LAST_SECOND + 4 * week, 4 * week)]:
         o, abbr = at(t)
         if abbr.isalpha():
             names[abbr] = o
@@ -119,7 +154,9 @@ _SHAPES = [
         rf"(?P<b>AAA) (?P<d>9{{1,2}}), (?P<Y>9999),? {_CLOCK}{_ZONE}",
     )
 ]
-_EPOCH_DIGITS = {9: 1000, 10: 1000, 12: 1, 13: 1, 15: -1000, 16: -1000, 18: -1_000_000, 19: -1_000_000}
+#: Factor to milliseconds by the number of digits (negative: to divide by): the unit under which an instant lies
+#: nearest to now, so 9 to 11 digits are seconds, 12 to 14 milliseconds, 15 to 17 micro- and 18 or 19 nanoseconds.
+_EPOCH_DIGITS = {n: unit for unit, sizes in ((1000, (9, 10, 11)), (1, (12, 13, 14)), (-1000, (15, 16, 17)), (-1_000_000, (18, 19))) for n in sizes}
 #: Masks are remembered up to this many; beyond it the oldest are found anew, with the same result.
 MASKS_KEPT = 4096
 
@@ -213,8 +250,9 @@ def _convert(texts: np.ndarray, parts: dict[str, tuple[int, int]], zones: np.nda
 _BRACKET = re.compile(r"\[([A-Za-z0-9_+/-]+)\]$")
 
 
-def to_utc_ms(texts: list[str | None], zones: list[str | None], named: dict[str, Zone]) -> tuple[list[int | None], list[str | None]]:
-    """Instant and shape mask of each text; ``zones`` are the names of the wall clocks."""
+def to_utc_ms(texts: list[str | None], zones: list[str | None], named: dict[str, Zone], rules: dict[str, bytes] | None = None) -> tuple[list[int | None], list[str | None]]:
+    """Instant and shape mask of each text; ``zones`` are the names of the wall clocks. ``rules`` are those of zones
+    that texts may name; tables made of them are added to ``named``."""
     n = len(texts)
     out: list[int | None] = [None] * n
     masks: list[str | None] = [None] * n
@@ -228,8 +266,8 @@ def to_utc_ms(texts: list[str | None], zones: list[str | None], named: dict[str,
         if t.endswith("]") and (found := _BRACKET.search(t)):
             t = t[: found.start()]
             masks[i] = t.translate(_TO_MASK) + "[zone]"
-            if found[1] not in named:
-                named[found[1]] = zone(found[1])
+            if found[1] not in named and (rules or {}).get(found[1]) is not None:
+                named[found[1]] = table_of(rules[found[1]])
             zone_of[i] = found[1]
             mask = masks[i][:-6]
         else:
@@ -258,6 +296,7 @@ def record_times(records: DataFrame, machines: DataFrame) -> DataFrame:
     zone_by_machine = {r.machine: r.tz_name for r in machines.select("machine", "tz_name").collect() if r.machine is not None}
     tables = {name: zone(name) for name in set(zone_by_machine.values()) if name is not None}
     version = tzdata_version()
+    sent = records.sparkSession.sparkContext.broadcast(zone_files())
     fixed = "9999-99-99A99:99:99.999A"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +308,9 @@ def record_times(records: DataFrame, machines: DataFrame) -> DataFrame:
             own = [(fields["time"] if s == "dsh" else fields["timestamp"])[i] for s, i in zip(source, keep.tolist())]
             texts = [None if v is None else str(v) for v in own]
             zones = [zone_by_machine.get(p.split("/", 1)[0]) if p is not None else None for p in paths]
-            utc, masks = to_utc_ms(texts, zones, tables)
+            utc, masks = to_utc_ms(texts, zones, tables, sent.value)
             canonical = [
-                (t is not None and len(t) in (12, 13) and t.isdigit()) if s == "dsh" else (m == fixed and t == t.strip() and t[10] == "T" and t[-1] == "Z") for s, t, m in zip(source, texts, masks)
+                (t is not None and len(t) in (12, 13, 14) and t.isdigit()) if s == "dsh" else (m == fixed and t == t.strip() and t[10] == "T" and t[-1] == "Z") for s, t, m in zip(source, texts, masks)
             ]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.render import header_markdown, turn_markdown
 from skein.operators.fold import fold_transcripts, fold_turns, most_common, number_turns, running_clock
-from skein.operators.nested import find_array_objects, linked_nodes
-from skein.operators.parse_rows import classify_records, find_malformed, load_index
+from skein.operators.nested import find_array_objects, item_links, linked_nodes
+from skein.operators.parse_rows import classify_records, find_malformed, load_index, load_records
 from skein.operators.schema_drift import changes, find_changes, unified_records
 from skein.operators.timestamps import find_odd_times, record_times
 from skein.plans import commands
@@ -44,6 +44,16 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return bad.groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
+@query
+def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return load_records(table(spark, d, "records"))[1].distinct()
+
+
+@query
+def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return load_records(table(spark, d, "records"))[0]
+
+
 @query
 def p1_index(spark: SparkSession, d: str) -> DataFrame:
     return load_index(table(spark, d, "index_lines")).where("status = 'record'").select("index_path", "line_no", "source", "id", "path", "cwd", "bytes", "mod_time")
@@ -65,6 +75,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_odd_times(table(spark, d, "records"), table(spark, d, "machines"))
 
 
+@query
+def p6_times(spark: SparkSession, d: str) -> DataFrame:
+    return record_times(table(spark, d, "records"), table(spark, d, "machines")).select("path", "line_no", "utc_ms", "shape", "tz_version").distinct()
+
+
 @query
 def p6_shapes(spark: SparkSession, d: str) -> DataFrame:
     times = record_times(table(spark, d, "records"), table(spark, d, "machines"))
@@ -81,6 +96,11 @@ def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
     return linked_nodes(table(spark, d, "records"))
 
 
+@query
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    return item_links(table(spark, d, "records"))
+
+
 # --- records to turns and transcripts -------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -58,21 +59,33 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as there are cores.
 
     For work that costs far more than moving its rows once: a scan of few, small files would
-    keep most cores idle. A scan with enough splits, as of any large table, is left alone.
+    keep most cores idle. A scan with enough splits, as of any large table, is left alone; so is a frame
+    behind a shuffle, which has set its partitions already.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # a shuffle has set the partitions already, and asking for them would run it
+    if _shuffles(df._jdf.queryExecution().executedPlan()):
+        return df  # asking for its partitions would run it
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def _shuffles(plan) -> bool:
+    """Whether a physical plan has a shuffle, by the kinds of its nodes; adaptive execution wraps such plans."""
+    kind = plan.getClass().getSimpleName()
+    children = plan.children()
+    return kind in ("AdaptiveSparkPlanExec", "ShuffleExchangeExec") or any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else (only where the
-    cluster sets none, as in tests) a temporary folder."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Only on a local master, where it may be unset as in
+    tests, a temporary folder takes its place, which is deleted when the program ends."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="skein-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         sc.setCheckpointDir(named)
     return named
 

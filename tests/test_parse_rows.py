@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.operators.parse_rows import MALFORMED, RECORD, SKIPPED, classify_records, diagnose, diagnose_row, find_malformed, load_index, load_records, parse_lines, split_row
+from skein.functions.json_text import read, read_deep, write
+from skein.operators.parse_rows import MALFORMED, RECORD, SKIPPED, _refuse, classify_records, diagnose, diagnose_row, find_malformed, load_index, load_records, parse_lines, split_row
 
 LINES = [
     ("{}", "claude", RECORD, None), ('{"type":"a"}{"type":"b"}', "claude", MALFORMED, "trailing_data"), ('{"type":1}', "claude", MALFORMED, "wrong_type:type"),
@@ -16,7 +17,8 @@ LINES = [
     ("﻿{}", "claude", MALFORMED, "byte_order_mark"), ("{'a':1}", "dsh", MALFORMED, "bad_syntax"), ('{"a":"x\ty"}', "dsh", MALFORMED, "control_character"), ('{"a":"\\x41"}', "dsh", MALFORMED, "bad_escape"),
     ('{"a":"b', "dsh", MALFORMED, "truncated"), ("hello", "dsh", MALFORMED, "not_json"), ('{"seq":1.0}', "dsh", MALFORMED, "wrong_type:seq"), ('{"seq":null,"time":12345678901234567890123}', "dsh", RECORD, None),
     ('{"seq":"1"}', "claude", RECORD, None), ('{"timestamp":5}', "dsh", RECORD, None), ('{"timestamp":5}', "codex", MALFORMED, "wrong_type:timestamp"), ('{"cwd":[]}', "claude", MALFORMED, "wrong_type:cwd"), ('{"cwd":[]}', "codex", RECORD, None),
-    ('{"type":"a","type":2}', "codex", MALFORMED, "wrong_type:type"), ('{"type":5}', None, MALFORMED, "wrong_type:type"), ("[" * 100_000, "dsh", MALFORMED, "too_deep"), ('{"a":' * 100_000 + "1" + "}" * 100_000, "dsh", MALFORMED, "too_deep"),
+    ('{"type":"a","type":2}', "codex", MALFORMED, "wrong_type:type"), ('{"type":5}', None, MALFORMED, "wrong_type:type"), ("[" * 100_000, "dsh", MALFORMED, "truncated"), ('{"a":' * 100_000 + "1" + "}" * 100_000, "dsh", RECORD, None), ('{"a":' * 100_000 + "1" + "}" * 99_999, "dsh", MALFORMED, "truncated"),
+    ('{"type":5,"a":' + "[" * 30_000 + "]" * 30_000 + "}", "dsh", MALFORMED, "wrong_type:type"), ("[" * 20_000 + "]" * 20_000, "dsh", MALFORMED, "not_an_object"), ('{"a":' + "[" * 20_000 + "01" + "]" * 20_000 + "}", "dsh", MALFORMED, "bad_syntax"),
 ]
 
 
@@ -80,3 +82,36 @@ def test_listing_rows(spark):
 def test_quoting_round_trip(fields):
     line = ",".join('"' + f.replace('"', '""') + '"' if set(f) & set(',"') or len(f) % 2 else f for f in fields)
     assert split_row(line) == fields
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**9))
+def test_deep_reader_agrees_with_the_plain_one(seed):
+    rng = random.Random(seed)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind > 5:
+            return {rng.choice("abc"): value(depth - 1) for _ in range(rng.randint(0, 3))} if kind == 6 else [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return [None, True, rng.randint(-9, 9), rng.random() * 1e3, "é\n\"x", ""][kind]
+
+    text = json.dumps(value(4), indent=rng.choice([None, 1]))
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        i = rng.randrange(len(text) + 1)
+        text = text[:i] + rng.choice('",:{}[]01-.e\\tfn ') + text[i + rng.choice([0, 1]) :]
+
+    def outcome(f):
+        try:
+            return f(text)
+        except ValueError:
+            return ValueError
+
+    assert outcome(read_deep) == outcome(json.JSONDecoder(parse_constant=_refuse).decode if text == text.strip() else lambda t: json.JSONDecoder(parse_constant=_refuse).decode(t.strip(" \t\r\n")))
+    if (got := outcome(read_deep)) is not ValueError:
+        assert json.loads(write(got, compact=True)) == got
+
+
+def test_numbers_and_depth_in_compact_text():
+    assert write({"b": [1.0, 1e21, 1e-7, 123456789012345680000.0, 0.1, -0.000001, 5e-324, 12], "a": "é<"}, compact=True) == '{"a":"é<","b":[1,1e+21,1e-7,123456789012345680000,0.1,-0.000001,5e-324,12]}'
+    deep = read('{"a":[' * 50_000 + "]}" * 50_000)
+    assert write(deep) == '{"a": [' * 50_000 + "]}" * 50_000

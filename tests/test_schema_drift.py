@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.operators.schema_drift import Sketch, best_matching, changes, find_changes, name_similarity, shape, unified_records
+from skein.operators.schema_drift import MATCH_LEAST, Catalog, Sketch, _contained, best_matching, changes, find_changes, merge_profiles, name_similarity, profile, score, shape, unified_records
 
 CATALOG = [
     ("dsh", "a", "type", "string", True), ("dsh", "a", "data", "object", True), ("dsh", "a", "data.role", "string", True), ("dsh", "a", "data.n", "int", True), ("dsh", "a", "data.opt", "any", False),
@@ -74,6 +74,56 @@ def test_changes(spark):
     assert one["renamed"]["data"] == {"role": "user", "n": 50} and one["retyped"]["data"]["n"] == 5 and one["added"]["data"]["_other"] == {"extra": {"deep": 1}}
 
 
+def test_one_new_name_for_two_fields(spark):
+    cat = [("dsh", "a", "type", "string", True), ("dsh", "a", "data", "object", True), ("dsh", "a", "data.role", "string", True), ("dsh", "a", "data.id", "string", True)]
+    rng = random.Random(2)
+    ids = [f"{rng.getrandbits(64):016x}" for _ in range(60)]
+    rows = [("dsh", f"g{i}", {"type": "a", "data": {"role": ["user", "bot"][i % 2], "id": x}}) for i, x in enumerate(ids[:40])]
+    rows += [("dsh", "r", {"type": "a", "data": {"key": "user", "id": x}}) for x in ids[40:50]] + [("dsh", "s", {"type": "a", "data": {"role": "bot", "key": x}}) for x in ids[50:]]
+    df, c = table(spark, rows), catalog(spark, cat)
+    found = changes(df, c)
+    assert {(r.path, r.field, r.new_name) for r in found.collect()} == {("r", "data.role", "data.key"), ("s", "data.id", "data.key")}
+    docs = [json.loads(r.doc)["data"] for r in unified_records(df, c, found).collect()]
+    assert len(docs) == len(rows) and all(set(d) == {"role", "id"} and d["role"] in ("user", "bot") for d in docs)
+
+
+def test_the_score_changes_smoothly_with_size():
+    """No number of distinct values flips a score: neighbours differ by little."""
+    scores = []
+    for n in range(1, 400):
+        known, found = Sketch(), Sketch()
+        for i in range(n):
+            known.add(f"/home/dev/project{i:03}")
+        for i in range(5):
+            found.add(f"/home/dev/project{(i * 7) % 900:03}")
+        scores.append(score(known, found, "cwd", "workdir", frozenset(["string"])))
+    assert max(abs(a - b) for a, b in zip(scores[36:], scores[37:])) < 0.03 and min(scores[60:]) >= MATCH_LEAST
+
+
+def test_sketches_estimate():
+    full = Sketch()
+    for i in range(20_000):
+        full.add(f"v{i}")
+    assert 12_000 < full.distinct() < 30_000
+    part = Sketch()
+    for i in range(0, 40_000, 2):
+        part.add(f"v{i}")
+    assert 0.3 < _contained(part.low, full.low) < 0.7 and _contained(set(), full.low) is None
+
+
+def test_depth_and_merging_levels(spark):
+    deep = '{"type":"a","data":{"role":"user","n":1,"opt":' + '{"x":[' * 30_000 + "]}" * 30_000 + "}}"
+    rows = [("dsh", "d", i, deep) for i in range(2)] + [("dsh", "e", 1, deep.replace('"role"', '"author"'))]
+    df = spark.createDataFrame(rows, "source string, path string, line_no bigint, raw string")
+    got = changes(df, catalog(spark))
+    assert {(r.path, r.field, r.change) for r in got.collect()} == {("e", "data.role", "renamed")}
+    docs = {r.path: r.doc for r in unified_records(df, catalog(spark), got).collect()}
+    assert docs["d"].replace(" ", "") == deep and docs["e"].replace(" ", "") == deep
+    many = [("dsh", f"p{i % 3}", {"type": "a", "data": {"role": f"r{i}", "n": i}}) for i in range(300)]
+    one = {(r.kind, r.name): Sketch.load(r.sketch).n for r in merge_profiles(profile(table(spark, many).repartition(7), Catalog.of(catalog(spark)))).collect()}
+    assert one[("known", "role")] == 300 and one[("known", "n")] == 300
+
+
 def test_renamed_ids(spark):
     rng = random.Random(5)
     ids = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(640)]

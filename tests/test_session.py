@@ -1,14 +1,15 @@
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein import session
 
 
 def test_small_scans_are_spread_and_shuffles_left_alone(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
-    df = spark.read.parquet(f"{tmp_path}/t")
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/Exchange")  # a name that isn't a plan node
+    df = spark.read.parquet(f"{tmp_path}/Exchange")
     assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = df.repartition(2, "id")
     assert session.spread(many) is many
@@ -36,3 +37,18 @@ def test_package_is_shipped_once(monkeypatch):
     session.ship(Session)
     session.ship(Session)
     assert len(sent) == 1 and "skein/operators/fold.pyc" in zipfile.ZipFile(sent[0]).namelist() and os.path.basename(sent[0]) == "skein.zip"
+
+
+def test_no_temporary_folder_off_local_masters():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session)

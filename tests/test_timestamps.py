@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from skein.operators.timestamps import find_odd_times, record_times, to_utc_ms, zone
+from skein.operators.timestamps import find_odd_times, record_times, to_utc_ms, tzdata_version, zone, zone_files
 
 BERLIN = "Europe/Berlin"
 TIMES = [
@@ -20,12 +20,12 @@ TIMES = [
 
 @pytest.mark.parametrize("text,want", TIMES, ids=[str(t) for t, _ in TIMES])
 def test_formats_on_a_berlin_clock(text, want):
-    assert to_utc_ms([text], [BERLIN], {BERLIN: zone(BERLIN)})[0] == [want]
+    assert to_utc_ms([text], [BERLIN], {BERLIN: zone(BERLIN)}, zone_files())[0] == [want]
 
 
 def test_all_at_once_is_the_same():
     texts = [t for t, _ in TIMES] * 3
-    assert to_utc_ms(texts, [BERLIN] * len(texts), {BERLIN: zone(BERLIN)})[0] == [w for _, w in TIMES] * 3
+    assert to_utc_ms(texts, [BERLIN] * len(texts), {BERLIN: zone(BERLIN)}, zone_files())[0] == [w for _, w in TIMES] * 3
 
 
 @pytest.mark.parametrize("name", ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "America/Sao_Paulo", "Europe/Lisbon", "Pacific/Apia"])
@@ -41,6 +41,22 @@ def test_zone_tables_against_brute_force(name):
         assert int(want.timestamp()) == utc, (name, naive)
 
 
+@pytest.mark.parametrize("name", ["Europe/Berlin", "America/New_York", "Africa/Casablanca", "Asia/Tokyo"])
+def test_wall_times_of_any_year(name):
+    rng, z, tz = random.Random(name), zone(name), ZoneInfo(name)
+    walls = [datetime(rng.randint(1860, 9998), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), 30) for _ in range(300)]
+    got = z.to_utc(np.array([int((w - datetime(1970, 1, 1)).total_seconds()) for w in walls]))
+    assert got.tolist() == [int(w.replace(tzinfo=tz).astimezone(timezone.utc).timestamp()) for w in walls]
+
+
+def test_digits_and_the_version():
+    digits = {"99999999999": 99999999999000, "12345678901234": 12345678901234, "12345678901234567": 12345678901234, "12345678": None, "1" * 20: None}
+    assert to_utc_ms(list(digits), [None] * 5, {})[0] == list(digits.values())
+    named = {}
+    assert to_utc_ms(["2025-03-01 11:00:00[No/Zone]", "2025-03-01 11:00:00[Asia/Tokyo]"], [None] * 2, named, zone_files())[0] == [None, 1740794400000] and list(named) == ["Asia/Tokyo"]
+    assert tzdata_version() != "" and zone("No/Zone") is None
+
+
 def test_a_clock_without_zone(spark):
     assert to_utc_ms(["2025-03-01 11:00:00", "2025-03-01T11:00:00Z"], [None, None], {})[0] == [None, 1740826800000]
     machines = spark.createDataFrame([("m1", BERLIN), ("m2", None), (None, "UTC")], "machine string, tz_name string")
