@@ -17,49 +17,43 @@ from skein.sources.stores import ROOTS, probe
 ALIASES = {"list": "ls", "grep": "search", "cat": "show"}
 
 
-def _parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="skein")
-    sub = p.add_subparsers(dest="command")
-    for name in ("ls", "search", "show", "export", "stats", "sources"):
-        c = sub.add_parser(name, aliases=[a for a, n in ALIASES.items() if n == name])
-        c.add_argument("--source")
-        c.add_argument("--limit", type=int, default=0 if name == "search" else commands.LIMIT)
-        c.add_argument("--json", action="store_true")
-        c.add_argument("--root", action="append", default=[], metavar="STORE=DIR")
-        if name == "ls":
-            c.add_argument("--no-title", action="store_true")
-        if name == "search":
-            c.add_argument("--context", type=int, default=0)
-            c.add_argument("--turns", action="store_true")
-            c.add_argument("query", nargs="+")
-        if name in ("show", "export"):
-            c.add_argument("id", nargs="?")
-            c.add_argument("--full", action="store_true")
-        if name == "show":
-            c.add_argument("--no-tools", action="store_true")
-        if name == "export":
-            c.add_argument("--format", default="md", type=str.lower)
-            c.add_argument("--out")
-        if name == "stats":
-            c.add_argument("--by", default="source")
-    sub.add_parser("probe").add_argument("files", nargs="+")
-    sub.add_parser("help")
+# The commands with their own options; all but ``probe`` and ``help`` have the common ones, too.
+COMMANDS: dict[str, dict[str, dict]] = {
+    "ls": {"--no-title": {"action": "store_true"}},
+    "search": {"--context": {"type": int, "default": 0}, "--turns": {"action": "store_true"}, "--prefilter": {"action": "store_true"}, "query": {"nargs": "+"}},
+    "show": {"--full": {"action": "store_true"}, "--no-tools": {"action": "store_true"}, "id": {"nargs": "?"}},
+    "export": {"--full": {"action": "store_true"}, "--format": {"default": "md", "type": str.lower}, "--out": {}, "id": {"nargs": "?"}},
+    "stats": {"--by": {"default": "source"}},
+    "sources": {},
+    "probe": {"files": {"nargs": "+"}},
+}
+
+
+def _parser(command: str) -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog=f"skein {command}")
+    if command != "probe":
+        p.add_argument("--source")
+        p.add_argument("--limit", type=int, default=0 if command == "search" else commands.LIMIT)
+        p.add_argument("--json", action="store_true")
+        p.add_argument("--root", action="append", default=[], metavar="STORE=DIR")
+    for name, how in COMMANDS[command].items():
+        p.add_argument(name, **how)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = _parser()
-    argv = sys.argv[1:] if argv is None else argv
+    name, *rest = (sys.argv[1:] if argv is None else argv) or ["help"]
+    command = ALIASES.get(name, name)
+    if command in ("help", "-h", "--help"):
+        print("usage: skein COMMAND [OPTIONS] [WORDS]\n\n" + "\n".join(_parser(c).format_usage().strip() for c in COMMANDS))
+        return 0
+    if command not in COMMANDS:
+        print(f"skein: unknown command {name!r}", file=sys.stderr)
+        return 2
     try:
-        # flags may stand on either side of a query or an id
-        first = parser.parse_known_args(argv[:1])[0] if argv[:1] == ["help"] else None
-        args = first or (parser.parse_args([]) if not argv else parser.parse_args(_hoist(argv)))
+        args = _parser(command).parse_intermixed_args(rest)  # options may stand on either side of words
     except SystemExit as e:
         return int(e.code or 0)
-    command = ALIASES.get(args.command or "help", args.command or "help")
-    if command == "help":
-        parser.print_help()
-        return 0
     if command == "probe":
         rows = probe(local_session(), args.files).orderBy("path").collect()
         for r in rows:
@@ -72,26 +66,6 @@ def main(argv: list[str] | None = None) -> int:
     return globals()[f"_{command}"](engine, args)
 
 
-def _hoist(argv: list[str]) -> list[str]:
-    """Options before words, so that both ``search -x q`` and ``search q -x`` are read; ``--`` ends options."""
-    takes = {"--source", "--limit", "--root", "--context", "--format", "--out", "--by"}
-    options, words, i = [], [], 1
-    while i < len(argv):
-        a = argv[i]
-        if a == "--":
-            words += argv[i + 1 :]
-            break
-        if a.startswith("-") and a != "-":
-            options.append(a)
-            if a in takes and i + 1 < len(argv):
-                i += 1
-                options.append(argv[i])
-        else:
-            words.append(a)
-        i += 1
-    return [argv[0], *options, *(["--", *words] if words else [])]
-
-
 def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -121,13 +95,16 @@ def _ls(engine: Engine, args) -> int:
 
 
 def _search(engine: Engine, args) -> int:
-    rows = _rows(commands.search(engine.turns, engine.sessions, engine.transcripts, " ".join(args.query), args.limit, args.context, args.turns))
+    query = " ".join(args.query)
+    kept, counts = engine.narrowed(query, args.prefilter)
+    rows = _rows(commands.search(kept.turns, kept.sessions, kept.transcripts, query, args.limit, args.context, args.turns))
     if args.json:
         print(print_json(rows))
         return 0
     for r in rows:
         print(f"{r['time']}  {r['source']:<6} {r['session']:<9} {r['role']:<9} {r['title'][:40]}\n    {r['snippet']}")
-    print(f"\n{len(rows)} match(es)" if rows else "skein: no matches", file=sys.stderr)
+    found = f"{len(rows)} match(es)" if rows else "skein: no matches"
+    print(f"\n{found}, {counts['scanned']} session(s) scanned, {counts['skipped']} skipped, {counts['unreadable']} unreadable", file=sys.stderr)
     return 0 if rows else 1
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.fold import fold_transcripts, fold_turns
 from skein.plans import commands
-from skein.session import cut, ship
+from skein.session import written, ship
 from skein.sources.decode import decode
 from skein.sources.stores import discover, scan, unreadable
 
@@ -30,11 +30,11 @@ class Engine:
 
     @cached_property
     def decoded(self) -> DataFrame:
-        return cut(decode(self.records))
+        return written(decode(self.records))
 
     @cached_property
     def turns(self) -> DataFrame:
-        return cut(fold_turns(self.decoded))
+        return written(fold_turns(self.decoded))
 
     @cached_property
     def transcripts(self) -> DataFrame:
@@ -54,3 +54,15 @@ class Engine:
 
     def unreadable(self) -> DataFrame:
         return unreadable(self.sessions, self.records)
+
+    def narrowed(self, query: str, prefilter: bool = True) -> tuple["Engine", dict[str, int]]:
+        """The engine over sessions of which some raw line holds the query, and how many were ``scanned`` (are parsed),
+        ``skipped`` (hold it nowhere) and ``unreadable``. The filter reads lines without parsing them; it misses text
+        that is escaped in the file, so without ``prefilter`` all readable sessions are kept."""
+        total, broken = self.sessions.count(), self.unreadable().count()
+        if not prefilter:
+            return self, {"scanned": total - broken, "skipped": 0, "unreadable": broken}
+        hits = written(commands.containing(self.records, query))
+        some = self.only(written(self.sessions.join(hits, "path", "left_semi")))
+        n = some.sessions.count()
+        return some, {"scanned": n, "skipped": total - n - broken, "unreadable": broken}

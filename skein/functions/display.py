@@ -25,8 +25,3 @@ def format_duration(seconds: float) -> str:
     s = int(seconds + 0.5)
     h, m, s = s // 3600, s // 60 % 60, s % 60
     return f"{h}h{m}m{s}s" if h else f"{m}m{s}s" if m else f"{s}s"
-
-
-def indent(text: str) -> str:
-    """Two spaces before every line but the first."""
-    return "\n".join("  " + line for line in text.rstrip("\n").split("\n")).lstrip(" ")

@@ -132,9 +132,14 @@ def all_text(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["kind"].isin("text", "thinking", "tool_use", "tool_result")), shown), "\n")
 
 
+def hidden_kinds(full: bool, no_tools: bool) -> set[str]:
+    """Kinds of blocks that a view leaves out."""
+    return (set() if full else {"thinking", "tool_result"}) | ({"tool_use", "tool_result"} if no_tools else set())
+
+
 def visible_blocks(blocks: Column, full: bool, no_tools: bool) -> Column:
     """The blocks that a plain (or full) view shows."""
-    hidden = ([] if full else ["thinking", "tool_result"]) + (["tool_use", "tool_result"] if no_tools else [])
+    hidden = sorted(hidden_kinds(full, no_tools))
     return F.filter(blocks, lambda b: ~b["kind"].isin(hidden)) if hidden else blocks
 
 

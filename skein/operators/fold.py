@@ -7,7 +7,7 @@ with a third of all records is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import all_text, first_line, nonblank, one_line, turn_text
@@ -16,37 +16,45 @@ BLOCK_LINES = 4096
 _USAGE = ("input", "output", "cache_read", "cache_write", "reasoning")
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
+def running(rows: DataFrame, order: list[str], **wanted: tuple[str, Column]) -> DataFrame:
+    """Adds running aggregates over the lines of a path: ``name=("max" or "sum", column)``, each up to and including its row.
+
+    They run inside blocks of line numbers, then over one row a block, which is made of the aggregated columns alone.
+    """
+    function = {"max": F.max, "sum": F.sum}
+    rows = rows.withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
+    inside = Window.partitionBy("path", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(*(function[f](c).alias(f"{k}_of") for k, (f, c) in wanted.items()))
+    blocks = blocks.select("path", "block", *(function[f](f"{k}_of").over(before).alias(f"{k}_before") for k, (f, _) in wanted.items()))
+    within = rows.withColumns({k: function[f](c).over(inside) for k, (f, c) in wanted.items()})
+    whole = {k: F.greatest(k, f"{k}_before") if f == "max" else F.col(k) + F.coalesce(f"{k}_before", F.lit(0)) for k, (f, _) in wanted.items()}
+    return within.join(blocks, ["path", "block"]).withColumns(whole).drop("block", *(f"{k}_before" for k in wanted))
 
 
 def running_clock(rows: DataFrame) -> DataFrame:
     """Adds ``clock``: the latest ``ts`` of the path up to and including the line. Null times don't count."""
-    rows = _blocked(rows)
-    inside = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("path", "block").agg(F.max("ts").alias("top")).select("path", "block", F.max("top").over(before).alias("earlier"))
-    timed = rows.withColumn("clock", F.max("ts").over(inside)).join(tops, ["path", "block"])
-    return timed.withColumn("clock", F.greatest("clock", "earlier")).drop("block", "earlier")
+    return running(rows, ["line_no"], clock=("max", F.col("ts")))
 
 
 def number_turns(turns: DataFrame) -> DataFrame:
     """Adds ``turn_idx``, from 0 in the order of (line_no, pos) within a path."""
-    turns = _blocked(turns)
-    inside = Window.partitionBy("path", "block").orderBy("line_no", "pos")
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = turns.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return turns.withColumn("k", F.row_number().over(inside) - 1).join(sizes, ["path", "block"]).withColumn("turn_idx", (F.col("start") + F.col("k")).cast("int")).drop("block", "start", "k")
+    return running(turns, ["line_no", "pos"], turn_idx=("sum", F.lit(1))).withColumn("turn_idx", (F.col("turn_idx") - 1).cast("int"))
 
 
 def fold_turns(decoded: DataFrame) -> DataFrame:
-    """``source, path, line_no, turn_idx, role, ts, model, tool_calls, blocks, text, all_text, titles``."""
-    clocked = running_clock(decoded.select("source", "path", "line_no", "ts", "turns"))
-    each = clocked.select("source", "path", "line_no", F.col("clock").alias("ts"), F.posexplode("turns").alias("pos", "t"))
-    numbered = number_turns(each)
-    return numbered.select(
-        "source", "path", "line_no", "turn_idx", "t.role", "ts", "t.model", "t.tool_calls", "t.blocks", turn_text(F.col("t.blocks")).alias("text"), all_text(F.col("t.blocks")).alias("all_text"), "t.titles"
-    )
+    """``source, path, line_no, turn_idx, role, ts, model, tool_calls, blocks, text, all_text, titles``.
+
+    The clock and the number of turns so far come from one pass over blocks. ``decoded`` is read twice, so it should
+    be a written table.
+    """
+    rows = decoded.select("source", "path", "line_no", "ts", "turns")
+    timed = running(rows, ["line_no"], clock=("max", F.col("ts")), upto=("sum", F.size("turns")))
+    each = timed.select("source", "path", "line_no", F.col("clock").alias("ts"), (F.col("upto") - F.size("turns")).alias("first"), F.posexplode("turns").alias("pos", "t"))
+    return each.select(
+        "source", "path", "line_no", (F.col("first") + F.col("pos")).cast("int").alias("turn_idx"), "t.role", "ts", "t.model", "t.tool_calls", "t.blocks",
+        turn_text(F.col("t.blocks")).alias("text"), all_text(F.col("t.blocks")).alias("all_text"), "t.titles",
+    )
 
 
 def most_common(rows: DataFrame, value: str) -> DataFrame:

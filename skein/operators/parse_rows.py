@@ -51,6 +51,10 @@ _NOT_FINITE = r"[\[:,\s-](?:NaN|Inf|Infinity)[\s,\]}]"
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*")
 
 
+def white_only(text: str) -> bool:
+    return _WHITE.fullmatch(text) is not None
+
+
 class _Pairs(list):
     """A JSON object as its key-value pairs, so that repeated keys stay visible."""
 
@@ -88,7 +92,7 @@ def diagnose(line: str | None, source: str | None) -> tuple[int, str | None]:
     """Status and reason of one line by RFC 8259 and the envelope's types."""
     if line is None or line == "":
         return SKIPPED, None
-    if _WHITE.fullmatch(line):
+    if white_only(line):
         return (SKIPPED, None) if source == "dsh" else (MALFORMED, "blank_line")
     try:
         try:
@@ -218,17 +222,6 @@ def classify_records(records: DataFrame) -> DataFrame:
     return spread(records.select("path", "line_no", "source", "raw")).mapInArrow(run, "path string, line_no bigint, source string, status string, reason string, rtype string")
 
 
-def with_status(records: DataFrame) -> DataFrame:
-    """``source, path, line_no, raw, status`` of every line, in one pass without a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            status, _, _ = by_source(b)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "path", "line_no", "raw")), pa.array(STATUS[status], pa.string())], ["source", "path", "line_no", "raw", "status"])
-
-    return spread(records.select("source", "path", "line_no", "raw")).mapInArrow(run, "source string, path string, line_no bigint, raw string, status string")
-
-
 def load_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)``: the valid lines with their raw text, and the bad ones with place and reason."""
 

@@ -16,7 +16,7 @@ from skein.operators.schema_drift import changes, find_changes, unified_records
 from skein.operators.timestamps import find_odd_times, record_times
 from skein.plans import commands
 from skein.plans.core_oracles import ORACLES  # noqa: F401
-from skein.session import cut, table
+from skein.session import table, written
 from skein.sources.decode import decode
 from skein.sources.stores import DSH_FILES, preferred
 
@@ -67,7 +67,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     records, catalog = table(spark, d, "records"), table(spark, d, "field_catalog")
-    return unified_records(records, catalog, cut(changes(records, catalog)))
+    return unified_records(records, catalog, written(changes(records, catalog)))
 
 
 @query
@@ -106,13 +106,13 @@ def p7_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fold_records_turns(spark: SparkSession, d: str) -> DataFrame:
-    return fold_turns(decode(table(spark, d, "records"))).drop("titles")
+    return fold_turns(written(decode(table(spark, d, "records")))).drop("titles")
 
 
 @query
 def fold_records_transcripts(spark: SparkSession, d: str) -> DataFrame:
-    decoded = cut(decode(table(spark, d, "records")))
-    return fold_transcripts(decoded, cut(fold_turns(decoded)), table(spark, d, "sessions"))
+    decoded = written(decode(table(spark, d, "records")))
+    return fold_transcripts(decoded, written(fold_turns(decoded)), table(spark, d, "sessions"))
 
 
 @query

@@ -1,209 +1,289 @@
 """Records to typed rows: what one line contributes to its session.
 
-Input: ``source, path, line_no, raw``. Output, one row for each distinct line that is not
+Input: ``source, path, line_no, raw``. Output, one row for each line that is not
 blank: ``source, path, line_no, malformed, ts, cwd, id, title, model, usage, turns`` where
 ``turns`` is an array of (role, model, tool_calls, blocks, titles), empty for most record
 types. A field of the wrong type makes its record, or its payload, undecodable, as the
 stores' own readers have it; nothing is cast on the way.
+
+A line is read once, in Arrow batches: telling a missing field from one of a wrong type takes several calls
+for each field by expressions over VARIANT, which made them some four times slower. Times are
+parsed and everything behind is folded by expressions.
+
+Defined results: of lines that stand at one place and differ, the smallest text counts; of a key
+that a record repeats the last value counts, whatever its depth; sources without a reader give nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import from_millis, nonblank, parse_time, summary
-from skein.functions.variants import all_fit, boolean, fits, integer, items, kind, text
-from skein.operators.parse_rows import with_status
+from skein.functions.json_text import read, write
+from skein.functions.text import ELLIPSIS, SUMMARY_CHARS, from_millis, parse_time
+from skein.operators.parse_rows import MALFORMED, SKIPPED, by_source, white_only, whole_text
 
 BLOCK = "struct<kind:string,text:string,name:string,input:string,is_error:boolean>"
 TURN = f"struct<role:string,model:string,tool_calls:int,blocks:array<{BLOCK}>,titles:boolean>"
 USAGE = "struct<input:bigint,output:bigint,cache_read:bigint,cache_write:bigint,reasoning:bigint>"
 
+#: A block is (kind, text, name, input, is_error), a turn (role, model, tool_calls, blocks, titles).
+Block = tuple[str, str, str, str, bool]
+Turn = tuple[str, str, int, list[Block], bool]
+_LONG = 1 << 63
+
+
+def _is_int(v: Any) -> bool:
+    return type(v) is int and -_LONG <= v < _LONG
+
+
+_KINDS: dict[str, Callable[[Any], bool]] = {"string": lambda v: type(v) is str, "int": _is_int, "bool": lambda v: type(v) is bool, "array": lambda v: type(v) is list, "object": lambda v: type(v) is dict}
+
 
-def _block(kind_: Column | str, text_: Column | None = None, name: Column | None = None, input_: Column | None = None, is_error: Column | None = None) -> Column:
-    empty = F.lit("")
-    return F.struct(
-        (F.lit(kind_) if isinstance(kind_, str) else kind_).alias("kind"), F.coalesce(text_ if text_ is not None else empty, empty).alias("text"),
-        F.coalesce(name if name is not None else empty, empty).alias("name"), F.coalesce(input_ if input_ is not None else empty, empty).alias("input"),
-        F.coalesce(is_error if is_error is not None else F.lit(False), F.lit(False)).alias("is_error"),
-    )
+def fits(v: dict, **wanted: str) -> bool:
+    """Whether every named field (``a__b`` for a.b) is missing, null or of its kind."""
+    for name, kind in wanted.items():
+        at: Any = v
+        for part in name.split("__"):
+            at = at.get(part) if type(at) is dict else None
+        if at is not None and not _KINDS[kind](at):
+            return False
+    return True
 
 
-def _turn(role: Column | str, blocks: Column, model: Column | None = None, calls: Column | int = 0, titles: bool = False) -> Column:
-    return F.struct(
-        (F.lit(role) if isinstance(role, str) else role).alias("role"), (model if model is not None else F.lit("")).alias("model"),
-        (calls if isinstance(calls, Column) else F.lit(calls)).cast("int").alias("tool_calls"), blocks.cast(f"array<{BLOCK}>").alias("blocks"), F.lit(titles).alias("titles"),
-    )
+def all_fit(items: list, **wanted: str) -> bool:
+    """Whether all elements are null, or objects whose named fields fit."""
+    return all(x is None or type(x) is dict and fits(x, **wanted) for x in items)
 
 
-def _usage(*parts: Column) -> Column:
-    return F.struct(*(p.cast("bigint").alias(n) for p, n in zip(parts, ("input", "output", "cache_read", "cache_write", "reasoning"))))
+def field(v: Any, name: str, empty: Any) -> Any:
+    """A field's value if it is of the kind of ``empty``, else that."""
+    got = v.get(name) if type(v) is dict else None
+    return got if type(got) is type(empty) and (type(got) is not int or _is_int(got)) else empty
 
 
-def summarise_json(v: Column, path: str) -> Column:
+def said(text: str) -> bool:
+    """Has a character that is no white space."""
+    return bool(text.strip()) or not white_only(text)
+
+
+def summarise(value: Any) -> str:
     """A JSON value as one line of at most 200 code points: keys sorted, ``<``, ``>`` and ``&`` escaped."""
-    j = F.to_json(F.try_variant_get(v, path, "variant"))
-    for c, e in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
-        j = F.replace(j, F.lit(c), F.lit(e))
-    return F.coalesce(summary(j), F.lit(""))
+    if value is None:
+        return ""
+    text = write(value, compact=True)
+    for c in "&<>  ":
+        text = text.replace(c, f"\\u{ord(c):04x}")
+    line = " ".join(text.split())
+    return line if len(line) <= SUMMARY_CHARS else line[:SUMMARY_CHARS] + ELLIPSIS
 
 
-def _texts(array: Column, kinds: dict[str, str]) -> Column:
-    """Non-blank texts of content items as blocks; ``kinds`` maps item types to block kinds."""
-    kept = F.filter(array, lambda b: text(b, "$.type").isin(list(kinds)) & nonblank(text(b, "$.text")))
-
-    def made(b: Column) -> Column:
-        what = F.lit("text")
-        for t, k in kinds.items():
-            if k != "text":
-                what = F.when(text(b, "$.type") == t, k).otherwise(what)
-        return _block(what, text(b, "$.text"))
-
-    return F.transform(kept, made)
-
-
-def envelope(records: DataFrame) -> DataFrame:
-    """Adds ``v`` (the parsed value, null for a malformed line or one that repeats a key) and
-    ``malformed``; drops what no reader looks at: empty lines and, for dsh, lines of white space.
-    Spark's own JSON parser lets text after the value pass, so lines are judged by ``parse_rows``."""
-    rows = with_status(records).where("status <> 'skipped'")
-    bad = F.col("status") == "malformed"
-    return rows.select("source", "path", "line_no", F.when(~bad, F.try_parse_json("raw")).alias("v"), bad.alias("malformed"))
-
-
-def _out(rows: DataFrame, ts: Column, turns: Column, **more: Column) -> DataFrame:
-    fill = {"cwd": F.lit(None).cast("string"), "id": F.lit(None).cast("string"), "title": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "usage": F.lit(None).cast(USAGE)}
-    return rows.select("source", "path", "line_no", "malformed", ts.alias("ts"), *((F.nullif(more[k], F.lit("")) if k in more and k != "usage" else more.get(k, c)).alias(k) for k, c in fill.items()), turns.alias("turns"))
-
-
-def _none() -> Column:
-    return F.array().cast(f"array<{TURN}>")
-
-
-def _if_blocks(turn: Column) -> Column:
-    """A one-turn array, or an empty one for a turn without blocks."""
-    return F.filter(F.array(turn), lambda t: F.size(t["blocks"]) > 0)
-
-
-def claude(rows: DataFrame) -> DataFrame:
-    v = F.col("v")
-    m = F.try_variant_get(v, "$.message", "variant")
-    ints = {f"usage__{k}": "BIGINT" for k in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")}
-    message_ok = F.startswith(F.schema_of_variant(m), F.lit("OBJECT")) & fits(m, role="STRING", model="STRING", usage="OBJECT", **ints, usage__output_tokens_details="OBJECT", usage__output_tokens_details__thinking_tokens="BIGINT")
-    parts = items(m, "$.content")
-    parts_ok = all_fit(parts, type="STRING", text="STRING", thinking="STRING", name="STRING", is_error="BOOLEAN")
-    plain = text(m, "$.content")
-
-    def shown(b: Column) -> Column:
-        t = text(b, "$.type")
-        return (
-            F.when(t == "text", _block("text", text(b, "$.text")))
-            .when(t == "thinking", _block("thinking", text(b, "$.thinking")))
-            .when(t == "tool_use", _block("tool_use", None, text(b, "$.name"), summarise_json(b, "$.input")))
-            .otherwise(_block("tool_result", summarise_json(b, "$.content"), is_error=boolean(b, "$.is_error")))
-        )
-
-    def kept(b: Column) -> Column:
-        t = text(b, "$.type")
-        return t.isin("tool_use", "tool_result") | ((t == "text") & nonblank(text(b, "$.text"))) | ((t == "thinking") & nonblank(text(b, "$.thinking")))
-
-    blocks = F.when(nonblank(plain), F.array(_block("text", plain))).when(parts_ok, F.transform(F.filter(parts, kept), shown))
-    blocks = F.when(F.coalesce(message_ok, F.lit(False)), blocks)
-    calls = F.size(F.filter("blocks", lambda b: b["kind"] == "tool_use"))
-    kind_ = text(v, "$.type")
-    rows = rows.withColumns({"blocks": F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")), "m": m})
-    m = F.col("m")
-    turn = F.when(kind_ == "user", _turn("user", F.col("blocks"), titles=True)).when(kind_ == "assistant", _turn("assistant", F.col("blocks"), text(m, "$.model"), calls))
-    turns = F.when(kind_.isin("user", "assistant"), _if_blocks(turn)).otherwise(_none())
-    used = (kind_ == "assistant") & (F.size("blocks") > 0)
-    u = [integer(m, f"$.usage.{k}") for k in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens_details.thinking_tokens")]
-    return _out(rows, parse_time(text(v, "$.timestamp")), turns, cwd=text(v, "$.cwd"), usage=F.when(used, _usage(*u)))
-
-
-def codex(rows: DataFrame) -> DataFrame:
-    v = F.col("v")
-    p = F.try_variant_get(v, "$.payload", "variant")
-    total = "info__total_token_usage"
-    names = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")
-    content = items(p, "$.content")
-    ok = F.startswith(F.schema_of_variant(p), F.lit("OBJECT")) & fits(
-        p, type="STRING", cwd="STRING", id="STRING", role="STRING", name="STRING", input="STRING", content="ARRAY", info="OBJECT", **{total: "OBJECT"}, **{f"{total}__{k}": "BIGINT" for k in names}
-    ) & all_fit(content, type="STRING", text="STRING")
-    rows = rows.withColumns({"p": p, "kind": F.when(F.coalesce(ok, F.lit(False)), text(v, "$.type")).otherwise("")})
-    p, record, kind_ = F.col("p"), F.col("kind"), text(F.col("p"), "$.type")
-    role = text(p, "$.role")
-    thoughts = F.filter(F.transform(items(p, "$.summary"), lambda s: text(s, "$.text")), nonblank)
-    reasoning = F.when(all_fit(items(p, "$.summary"), text="STRING") & fits(p, summary="ARRAY") & (F.size(thoughts) > 0), F.array(_block("thinking", F.array_join(thoughts, "\n"))))
-    empty = F.array().cast(f"array<{BLOCK}>")
-    message = F.when(role.isin("user", "assistant", "system"), _texts(items(p, "$.content"), {"input_text": "text", "output_text": "text", "text": "text"}))
-    turn = (
-        F.when(kind_ == "message", F.struct(role.alias("role"), F.lit("").alias("model"), F.lit(0).alias("tool_calls"), F.coalesce(message, empty).cast(f"array<{BLOCK}>").alias("blocks"), (role == "user").alias("titles")))
-        .when(kind_ == "reasoning", _turn("assistant", F.coalesce(reasoning, empty)))
-        .when(kind_.isin("function_call", "custom_tool_call"), _turn("assistant", F.array(_block("tool_use", None, text(p, "$.name"), text(p, "$.input"))), calls=1))
-        .when(kind_.isin("function_call_output", "custom_tool_call_output"), _turn("tool", F.array(_block("tool_result", text(p, "$.input")))))
-    )
-    turns = F.when((record == "response_item") & turn.isNotNull(), _if_blocks(turn)).otherwise(_none())
-    meta = record == "session_meta"
-    counted = (record == "event_msg") & (kind_ == "token_count") & F.startswith(kind(p, "$.info"), F.lit("OBJECT"))
-    u = [integer(p, f"$.info.total_token_usage.{k}") for k in names]
-    return _out(rows, parse_time(text(F.col("v"), "$.timestamp")), turns, cwd=F.when(meta, text(p, "$.cwd")), id=F.when(meta, text(p, "$.id")), usage=F.when(counted, _usage(*u)))
-
-
-def dsh(rows: DataFrame) -> DataFrame:
-    v = F.col("v")
-    rows = rows.withColumns({"d": F.try_variant_get(v, "$.data", "variant"), "kind": text(v, "$.type")})
-    d, record = F.col("d"), F.col("kind")
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(d), F.lit("OBJECT")), F.lit(False))
-    own = items(d, "$.content")
-    own_ok = is_object & fits(d, content="ARRAY") & all_fit(own, type="STRING", text="STRING")
-    inserted = items(d, "$.inserted")
-    inserted_ok = is_object & fits(d, inserted="ARRAY") & all_fit(inserted, content="ARRAY") & F.forall(inserted, lambda x: all_fit(items(x, "$.content"), type="STRING", text="STRING"))
-    text_only = {"text": "text"}
-    spliced = F.filter(F.transform(inserted, lambda x: _turn("user", _texts(items(x, "$.content"), text_only))), lambda t: F.size(t["blocks"]) > 0)
-    from_inbox = F.when(inserted_ok, spliced).otherwise(_none())
-    said = items(d, "$.message.content")
-    numbers = ("inputTokens", "outputTokens", "cacheReadTokens", "reasoningTokens")
-    said_ok = is_object & fits(d, message="OBJECT", message__role="STRING", message__content="ARRAY", usage="OBJECT", **{f"usage__{k}": "BIGINT" for k in numbers}) & all_fit(said, type="STRING", text="STRING")
-    call_ok = is_object & fits(d, name="STRING", arguments="STRING")
-    result_ok = is_object & fits(d, message="OBJECT", message__content="ARRAY") & all_fit(said, type="STRING", content="ARRAY") & F.forall(said, lambda x: all_fit(items(x, "$.content"), type="STRING", text="STRING"))
-    result = F.array_join(F.flatten(F.transform(said, lambda x: F.transform(F.filter(items(x, "$.content"), lambda y: text(y, "$.type") == "text"), lambda y: text(y, "$.text")))), "")
-    turns = (
-        F.when((record == "user/message") & own_ok, _if_blocks(_turn("user", _texts(own, text_only), titles=True)))
-        .when(record.isin("user/message", "agent/inbox/spliced"), from_inbox)
-        .when((record == "assistant/message") & said_ok, _if_blocks(_turn("assistant", _texts(said, {"text": "text", "reasoning": "thinking"}))))
-        .when((record == "tool/call") & call_ok, F.array(_turn("assistant", F.array(_block("tool_use", None, text(d, "$.name"), text(d, "$.arguments"))), calls=1)))
-        .when((record == "tool/result") & result_ok & (result != ""), F.array(_turn("tool", F.array(_block("tool_result", result)))))
-        .otherwise(_none())
-    )
-    zero = F.lit(0).cast("bigint")
-    stream = items(d, "$.stream")
-    stream_ok = is_object & fits(d, stream="ARRAY") & all_fit(stream, chunk="OBJECT", chunk__type="STRING", chunk__usage="OBJECT", chunk__usage__inputTokens="BIGINT", chunk__usage__outputTokens="BIGINT")
-    chunks = F.filter(stream, lambda x: text(x, "$.chunk.type") == "usage")
+def text_block(text: str, kind: str = "text") -> Block:
+    return kind, text, "", "", False
 
-    def spent(name: str) -> Column:
-        return F.aggregate(F.transform(chunks, lambda x: integer(x, f"$.chunk.usage.{name}")), zero, lambda a, x: a + x)
 
-    usage = F.when((record == "assistant/message") & said_ok & F.startswith(kind(d, "$.usage"), F.lit("OBJECT")), _usage(integer(d, "$.usage.inputTokens"), integer(d, "$.usage.outputTokens"), integer(d, "$.usage.cacheReadTokens"), zero, integer(d, "$.usage.reasoningTokens"))).when(
-        (record == "assistant/attempt") & stream_ok, _usage(spent(numbers[0]), spent(numbers[1]), zero, zero, zero)
-    )
-    config = "$.header.config"
-    header_ok = is_object & fits(d, header="OBJECT", header__config="OBJECT", header__config__provider="STRING", header__config__model="STRING")
-    return _out(
-        rows,
-        from_millis(integer(F.col("v"), "$.time")),
-        turns,
-        cwd=F.when((record == "session") & is_object, text(d, "$.cwd")),
-        title=F.when((record == "session/title") & is_object, text(d, "$.title")),
-        model=F.when((record == "request/header") & header_ok, text(d, f"{config}.model")),
-        usage=usage,
+def texts(items: list, kinds: dict[str, str]) -> list[Block]:
+    """Non-blank texts of content items as blocks; ``kinds`` maps item types to block kinds."""
+    return [text_block(x["text"], kinds[x["type"]]) for x in items if type(x) is dict and x.get("type") in kinds and type(x.get("text")) is str and said(x["text"])]
+
+
+class Line:
+    """What a line contributes; empty texts stand for nothing."""
+
+    __slots__ = ("time", "millis", "cwd", "id", "title", "model", "usage", "turns")
+
+    def __init__(self):
+        self.time, self.millis, self.cwd, self.id, self.title, self.model = "", 0, "", "", "", ""
+        self.usage: tuple[int, ...] | None = None
+        self.turns: list[Turn] = []
+
+    def turn(self, role: str, blocks: list[Block], model: str = "", calls: int = 0, titles: bool = False) -> None:
+        if blocks:
+            self.turns.append((role, model, calls, blocks, titles))
+
+
+# The stores' record types and field names, and the usage they count, in the order of ``USAGE``.
+CLAUDE_USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+CODEX_USAGE = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens")
+DSH_USAGE = ("inputTokens", "outputTokens", "cacheReadTokens", "reasoningTokens")
+
+
+def claude_blocks(m: dict) -> list[Block]:
+    content = m.get("content")
+    if type(content) is str:
+        return [text_block(content)] if said(content) else []
+    if type(content) is not list or not all_fit(content, type="string", text="string", thinking="string", name="string", is_error="bool"):
+        return []
+    out = []
+    for x in content:
+        kind = field(x, "type", "")
+        if kind in ("text", "thinking"):
+            if said(shown := field(x, kind, "")):
+                out.append(text_block(shown, kind))
+        elif kind == "tool_use":
+            out.append((kind, "", field(x, "name", ""), summarise(x.get("input")), False))
+        elif kind == "tool_result":
+            out.append((kind, summarise(x.get("content")), "", "", field(x, "is_error", False)))
+    return out
+
+
+def claude(v: dict, out: Line) -> None:
+    out.time, out.cwd = field(v, "timestamp", ""), field(v, "cwd", "")
+    role, m = field(v, "type", ""), v.get("message")
+    if role not in ("user", "assistant") or type(m) is not dict:
+        return
+    counts = {f"usage__{k}": "int" for k in CLAUDE_USAGE}
+    if not fits(m, role="string", model="string", usage="object", **counts, usage__output_tokens_details="object", usage__output_tokens_details__thinking_tokens="int"):
+        return
+    blocks = claude_blocks(m)
+    if role == "user":
+        out.turn(role, blocks, titles=True)
+    elif blocks:
+        out.turn(role, blocks, field(m, "model", ""), sum(b[0] == "tool_use" for b in blocks))
+        u = field(m, "usage", {})
+        out.usage = (*(field(u, k, 0) for k in CLAUDE_USAGE), field(u.get("output_tokens_details"), "thinking_tokens", 0))
+
+
+def codex(v: dict, out: Line) -> None:
+    out.time = field(v, "timestamp", "")
+    p = v.get("payload")
+    counts = {f"info__total_token_usage__{k}": "int" for k in CODEX_USAGE}
+    texts_of = ("type", "cwd", "id", "role", "name", "input")
+    if type(p) is not dict or not fits(p, **dict.fromkeys(texts_of, "string"), content="array", info="object", info__total_token_usage="object", **counts):
+        return
+    content = field(p, "content", [])
+    if not all_fit(content, type="string", text="string"):
+        return
+    record, kind, role = field(v, "type", ""), field(p, "type", ""), field(p, "role", "")
+    if record == "session_meta":
+        out.cwd, out.id = field(p, "cwd", ""), field(p, "id", "")
+    elif record == "event_msg" and kind == "token_count" and type(p.get("info")) is dict:
+        u = field(p["info"], "total_token_usage", {})
+        out.usage = tuple(field(u, k, 0) for k in CODEX_USAGE)
+    elif record == "response_item":
+        if kind == "message" and role in ("user", "assistant", "system"):
+            out.turn(role, texts(content, dict.fromkeys(("input_text", "output_text", "text"), "text")), titles=role == "user")
+        elif kind == "reasoning" and fits(p, summary="array") and all_fit(field(p, "summary", []), text="string"):
+            thoughts = [t for x in field(p, "summary", []) if said(t := field(x, "text", ""))]
+            out.turn("assistant", [text_block("\n".join(thoughts), "thinking")] if thoughts else [])
+        elif kind in ("function_call", "custom_tool_call"):
+            out.turn("assistant", [("tool_use", "", field(p, "name", ""), field(p, "input", ""), False)], calls=1)
+        elif kind in ("function_call_output", "custom_tool_call_output"):
+            out.turn("tool", [text_block(field(p, "input", ""), "tool_result")])
+
+
+def dsh(v: dict, out: Line) -> None:
+    out.millis = field(v, "time", 0)
+    d, record = v.get("data"), field(v, "type", "")
+    if type(d) is not dict:
+        return
+    inner = {"type": "string", "text": "string"}
+    message = field(d, "message", {})
+    parts = field(message, "content", [])
+    if record in ("user/message", "agent/inbox/spliced"):
+        own = field(d, "content", [])
+        if record == "user/message" and fits(d, content="array") and all_fit(own, **inner):
+            out.turn("user", texts(own, {"text": "text"}), titles=True)
+        elif fits(d, inserted="array") and all_fit(some := field(d, "inserted", []), content="array") and all(all_fit(field(x, "content", []), **inner) for x in some):
+            for x in some:
+                out.turn("user", texts(field(x, "content", []), {"text": "text"}))
+    elif record == "assistant/message":
+        counts = {f"usage__{k}": "int" for k in DSH_USAGE}
+        if fits(d, message="object", message__role="string", message__content="array", usage="object", **counts) and all_fit(parts, **inner):
+            out.turn("assistant", texts(parts, {"text": "text", "reasoning": "thinking"}))
+            if type(u := d.get("usage")) is dict:
+                spent = [field(u, k, 0) for k in DSH_USAGE]
+                out.usage = (*spent[:3], 0, spent[3])
+    elif record == "tool/call":
+        if fits(d, name="string", arguments="string"):
+            out.turn("assistant", [("tool_use", "", field(d, "name", ""), field(d, "arguments", ""), False)], calls=1)
+    elif record == "tool/result":
+        if fits(d, message="object", message__content="array") and all_fit(parts, type="string", content="array") and all(all_fit(field(x, "content", []), **inner) for x in parts):
+            shown = "".join(field(y, "text", "") for x in parts for y in field(x, "content", []) if field(y, "type", "") == "text")
+            out.turn("tool", [text_block(shown, "tool_result")] if shown else [])
+    elif record == "assistant/attempt":
+        stream = field(d, "stream", [])
+        if fits(d, stream="array") and all_fit(stream, chunk="object", chunk__type="string", chunk__usage="object", chunk__usage__inputTokens="int", chunk__usage__outputTokens="int"):
+            used = [field(c, "usage", {}) for x in stream if field(c := field(x, "chunk", {}), "type", "") == "usage"]
+            # sums wrap as 64-bit numbers do
+            total = [(sum(field(u, k, 0) for u in used) + _LONG) % (2 * _LONG) - _LONG for k in DSH_USAGE[:2]]
+            out.usage = (*total, 0, 0, 0)
+    elif record == "session":
+        out.cwd = field(d, "cwd", "")
+    elif record == "session/title":
+        out.title = field(d, "title", "")
+    elif record == "request/header":
+        if fits(d, header="object", header__config="object", header__config__provider="string", header__config__model="string"):
+            out.model = field(field(field(d, "header", {}), "config", {}), "model", "")
+
+
+READERS: dict[str, Callable[[dict, Line], None]] = {"claude": claude, "codex": codex, "dsh": dsh}
+_COLUMNS = f"source string, path string, line_no bigint, malformed boolean, time string, millis bigint, cwd string, id string, title string, model string, usage {USAGE}, turns array<{TURN}>"
+_NAMES = ["source", "path", "line_no", "malformed", "time", "millis", "cwd", "id", "title", "model", "usage", "turns"]
+
+
+def _strings(values: list[str]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # a lone surrogate
+        return pa.array([whole_text(v) for v in values], pa.string())
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+
+
+def _turns(lines: list[Line]) -> pa.Array:
+    flat = [t for x in lines for t in x.turns]
+    blocks = [b for t in flat for b in t[3]]
+    columns = [_strings([b[k] for b in blocks]) for k in range(4)]
+    block = pa.StructArray.from_arrays([*columns, pa.array([b[4] for b in blocks], pa.bool_())], ["kind", "text", "name", "input", "is_error"])
+    turn = pa.StructArray.from_arrays(
+        [_strings([t[0] for t in flat]), _strings([t[1] for t in flat]), pa.array([t[2] for t in flat], pa.int32()), _lists([len(t[3]) for t in flat], block), pa.array([t[4] for t in flat], pa.bool_())],
+        ["role", "model", "tool_calls", "blocks", "titles"],
     )
+    return _lists([len(x.turns) for x in lines], turn)
+
+
+def _usage(lines: list[Line]) -> pa.Array:
+    none = (0,) * 5
+    columns = [pa.array([(x.usage or none)[k] for x in lines], pa.int64()) for k in range(5)]
+    return pa.StructArray.from_arrays(columns, ["input", "output", "cache_read", "cache_write", "reasoning"], mask=pa.array([x.usage is None for x in lines], pa.bool_()))
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 4000):
+            b = whole.slice(lo, 4000)
+            places = list(zip(*(b.column(c).to_pylist() for c in ("source", "path", "line_no"))))
+            # equal places are neighbours, the smallest text first
+            new = np.array([p != q for p, q in zip(places, [last, *places])], dtype=bool)
+            last = places[-1]
+            b = b.filter(pa.array(new))
+            status, _, _ = by_source(b)
+            at = np.flatnonzero(status != SKIPPED)
+            b, bad = b.take(pa.array(at)), (status[at] == MALFORMED).tolist()
+            lines = []
+            for source, raw, broken in zip(b.column("source").to_pylist(), b.column("raw").to_pylist(), bad):
+                lines.append(out := Line())
+                if not broken:
+                    READERS[source](read(raw), out)
+            texts_ = [pa.array([whole_text(v) or None for v in (getattr(x, k) for x in lines)], pa.string()) for k in ("time", "cwd", "id", "title", "model")]
+            millis = pa.array([x.millis for x in lines], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "path", "line_no")), pa.array(bad, pa.bool_()), texts_[0], millis, *texts_[1:], _usage(lines), _turns(lines)], _NAMES)
 
 
 def decode(records: DataFrame) -> DataFrame:
-    """All sources together, each line once; other sources have no reader and give nothing.
-
-    The sources are told apart before their lines are parsed, so every line is parsed once.
-    """
-    parts = [read(envelope(records.where(F.col("source") == name))) for name, read in (("claude", claude), ("codex", codex), ("dsh", dsh))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["source", "path", "line_no"])
+    """All sources together, each line once. One shuffle by place, so that a path with a third of all lines is
+    spread, brings lines that were read twice together before they are parsed."""
+    known = records.where(F.col("source").isin(list(READERS)) & (F.col("raw") != "")).select("source", "path", "line_no", "raw")
+    placed = known.repartition(F.xxhash64("path", "line_no")).sortWithinPartitions("source", "path", "line_no", "raw")
+    rows = placed.mapInArrow(_run, _COLUMNS)
+    ts = F.when(F.col("source") == "dsh", from_millis(F.col("millis"))).otherwise(parse_time(F.col("time")))
+    return rows.select("source", "path", "line_no", "malformed", ts.alias("ts"), "cwd", "id", "title", "model", "usage", "turns")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.fold import fold_transcripts, fold_turns
-from skein.session import cut
+from skein.session import written
 from skein.sources.decode import decode
 from skein.sources.stores import scan
 
@@ -28,12 +28,12 @@ def refresh(spark: SparkSession, sessions: DataFrame, store: str) -> int:
     """Folds changed sessions and adds them under ``store`` as a new batch; returns how many there were."""
     there = os.path.exists(f"{store}/sessions")
     known = spark.read.parquet(f"{store}/sessions") if there else None
-    todo = cut(changed(sessions, known))
+    todo = written(changed(sessions, known))
     n = todo.count()
     if n:
         batch = 1 + (known.agg(F.max("batch")).first()[0] or 0 if known is not None else 0)
-        decoded = cut(decode(scan(todo)))
-        turns = cut(fold_turns(decoded))
+        decoded = written(decode(scan(todo)))
+        turns = written(fold_turns(decoded))
         for name, df in (("turns", turns), ("transcripts", fold_transcripts(decoded, turns, todo)), ("sessions", todo)):
             df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("source").parquet(f"{store}/{name}")
     return n
@@ -54,6 +54,6 @@ def stream_new_files(spark: SparkSession, source: str, pattern: str, out: str, c
         path = F.regexp_replace("path", "^file:/*", "/")
         lines = batch.select(path.alias("path"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n", -1)).alias("n", "line"))
         records = lines.select(F.lit(source).alias("source"), "path", (F.col("n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("raw")).where("raw <> ''")
-        fold_turns(cut(decode(records))).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        fold_turns(written(decode(records))).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
     return files.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

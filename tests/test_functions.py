@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.display import format_count, format_duration, human_bytes, indent
+from skein.functions.display import format_count, format_duration, human_bytes
 
 
 def one(spark, value, *columns):
@@ -51,4 +51,3 @@ def test_display():
     assert [format_count(n) for n in (999, 1000, 1250, 999_950, 1_000_000)] == ["999", "1.0k", "1.2k", "1000.0k", "1.0M"]
     assert [human_bytes(n) for n in (1023, 1024, 1024**2 * 3 // 2, 1024**5)] == ["1023B", "1.0K", "1.5M", "1.0P"]
     assert [format_duration(s) for s in (0.4, 59.5, 2214, 3600)] == ["0s", "1m0s", "36m54s", "1h0m0s"]
-    assert indent("a\n b\n") == "a\n   b"

@@ -29,10 +29,10 @@ def say(role, text, m=0, **more):
 @pytest.fixture(scope="module")
 def roots(tmp_path_factory):
     d = tmp_path_factory.mktemp("stores")
-    write(f"{d}/claude/-work-a/c1.jsonl", [say("user", "Find the FOX please"), say("assistant", "the quick brown fox\r", 1, model="m1")])
-    write(f"{d}/claude/-work-a/sub/deep.jsonl", [say("user", "too deep")])
+    write(f"{d}/claude/-work-a/c1.jsonl", [say("user", "Where is the LADDER now"), say("assistant", "behind the green ladder shed\r", 1, model="m1")])
+    write(f"{d}/claude/-work-a/sub/deep.jsonl", [say("user", "below")])
     write(f"{d}/claude/-work-a/c2.jsonl", [say("user", "nothing here"), '{"type":"user","mess\n'])
-    write(f"{d}/codex/2025/01/rollout-2025-01-07T06-00-00-e220-7b1d.jsonl", [{"type": "session_meta", "payload": {"id": "own-id", "cwd": "/repo"}}, {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "a fox?"}]}}])
+    write(f"{d}/codex/2025/01/rollout-2025-01-07T06-00-00-e220-7b1d.jsonl", [{"type": "session_meta", "payload": {"id": "own-id", "cwd": "/repo"}}, {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "which ladder?"}]}}])
     write(f"{d}/codex/other.jsonl", ["x\n"])
     user = lambda t: {"type": "user/message", "seq": 1, "time": 1740823200000, "data": {"content": [{"type": "text", "text": t}]}}
     write(f"{d}/dsh/~work-x/session-1/session.v3.jsonl.zstd", [user("three" + "x" * 50)] * 3, packed=True, frames=4)
@@ -64,10 +64,10 @@ def test_folded_store(engine):
 
 def test_search(engine):
     args = engine.turns, engine.sessions, engine.transcripts
-    hits = commands.search(*args, "fox").collect()
+    hits = commands.search(*args, "ladder").collect()
     assert [(h.session, h.role, h.turn) for h in hits][:2] == [("c1", "assistant", 1), ("c1", "user", 0)] and hits[-1].time == "-" and len(hits) == 3
-    assert commands.search(*args, "FOX", limit=1).count() == 1 and commands.search(*args, "zebra").count() == 0
-    assert commands.search(*args, "fox", prefilter=commands.containing(engine.records, "quick")).count() == 2
+    assert commands.search(*args, "LADDER", limit=1).count() == 1 and commands.search(*args, "walrus").count() == 0
+    assert commands.search(*args, "ladder", prefilter=commands.containing(engine.records, "green")).count() == 2
     assert commands.search(*args, "").count() == engine.turns.count()
 
 
@@ -92,9 +92,9 @@ def test_views(engine):
     row = engine.transcripts.where("id = 'c1'")
     t = load_session(engine.transcripts, engine.turns, row.first().path)
     text = to_text(t)
-    assert text.startswith("claude  c1\ntitle  Find the FOX please\ncwd    /work\n") and "(1m0s)" in text and "ASSISTANT · m1" in text
+    assert text.startswith("claude  c1\ntitle  Where is the LADDER now\ncwd    /work\n") and "(1m0s)" in text and "ASSISTANT · m1" in text
     md = to_markdown(row, engine.turns)
-    assert md.startswith("# Find the FOX please\n\n| | |\n") and "## User\n\nFind the FOX please\n" in md and "| Harness | `claude` |" in md
+    assert md.startswith("# Where is the LADDER now\n\n| | |\n") and "## User\n\nWhere is the LADDER now\n" in md and "| Harness | `claude` |" in md
     doc = json.loads(to_json(t))
     assert doc["Source"] == "claude" and [x["Role"] for x in doc["Turns"]] == ["user", "assistant"] and print_json(["<&>"]) == '[\n  "\\u003c\\u0026\\u003e"\n]'
 
@@ -117,15 +117,23 @@ def test_probe_command(roots, capsys):
     assert cli.main(["probe", f"{base}/session-1/session.jsonl.zstd", f"{base}/session-2/broken.zstd"]) == 1
 
 
+def test_prefiltered_search(engine, roots, capsys):
+    kept, counts = engine.narrowed("Ladder")
+    assert counts == {"scanned": 2, "skipped": 3, "unreadable": 0} and kept.sessions.count() == 2
+    assert commands.search(kept.turns, kept.sessions, kept.transcripts, "ladder").count() == 3
+    assert engine.narrowed("ladder", False)[1] == {"scanned": 5, "skipped": 0, "unreadable": 0} and engine.narrowed("walrus")[1]["skipped"] == 5
+    assert cli.main(["search", "ladder", "--prefilter", *(f"--root={n}={d}" for n, d in roots.items())]) == 0 and "2 session(s) scanned, 3 skipped, 0 unreadable" in capsys.readouterr().err
+
+
 def test_command_line(roots, capsys, tmp_path):
     opts = [f"--root={n}={d}" for n, d in roots.items()]
     assert cli.main(["help"]) == 0 and cli.main([]) == 0 and cli.main(["nonsense"]) == 2 and cli.main(["search"]) == 2
     assert cli.main(["sources", *opts]) == 0 and cli.main(["list", "--json", *opts]) == 0
     capsys.readouterr()
-    assert cli.main(["grep", "brown fox", "--json", *opts]) == 0
+    assert cli.main(["grep", "green ladder", "--json", *opts]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 1
-    assert cli.main(["search", "zebra", *opts]) == 1 and cli.main(["stats", "--by", "model", *opts]) == 0 and cli.main(["show", "zzz", *opts]) == 1
-    assert cli.main(["export", "c1", "--format", "md", "--out", f"{tmp_path}/x.md", *opts]) == 0 and open(f"{tmp_path}/x.md").read().startswith("# Find")
+    assert cli.main(["search", "walrus", *opts]) == 1 and cli.main(["stats", "--by", "model", *opts]) == 0 and cli.main(["show", "zzz", *opts]) == 1
+    assert cli.main(["export", "c1", "--format", "md", "--out", f"{tmp_path}/x.md", *opts]) == 0 and open(f"{tmp_path}/x.md").read().startswith("# Where")
     assert cli.main(["export", "c1", "--format", "pdf", *opts]) == 2
 
 
