@@ -63,6 +63,12 @@ def most_common(rows: DataFrame, value: str) -> DataFrame:
     return counts.groupBy("path").agg(F.min_by(value, F.struct(-F.col("count"), F.col(value))).alias(value))
 
 
+def turn_totals(turns: DataFrame) -> DataFrame:
+    """``path, messages, tool_calls, chars``: turns of the two speakers, calls, and bytes of searchable text."""
+    speaks = F.col("role").isin("user", "assistant")
+    return turns.groupBy("path").agg(F.count_if(speaks).alias("messages"), F.sum("tool_calls").alias("tool_calls"), F.sum(F.octet_length("all_text")).alias("chars"))
+
+
 def fold_transcripts(decoded: DataFrame, turns: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """One row a path, with the columns of the transcripts table and ``chars``.
 
@@ -75,21 +81,17 @@ def fold_transcripts(decoded: DataFrame, turns: DataFrame, sessions: DataFrame |
         last("cwd").alias("own_cwd"), last("id").alias("own_id"), last("title").alias("given_title"), last("model").alias("given_model"),
         F.struct(*(F.coalesce(F.sum(f"usage.{k}"), F.lit(0)).alias(k) for k in _USAGE)).alias("summed"), last("usage").alias("final"),
     )
-    place = F.struct("line_no", "turn_idx")
-    speaks = F.col("role").isin("user", "assistant")
+    # turns are numbered in order within a path; only texts that a user may have titled the session with are moved
     is_title = F.col("titles") & nonblank(F.col("text"))
-    opening = (F.col("role") == "user") & (first_line(F.col("text")) != "")
-    by_turn = turns.groupBy("path").agg(
-        F.count_if(speaks).alias("messages"), F.sum("tool_calls").alias("tool_calls"), F.sum(F.octet_length("all_text")).alias("chars"),
-        F.min_by("text", F.when(is_title, place)).alias("first_text"), F.min_by(first_line(F.col("text")), F.when(opening, place)).alias("opening"),
-    )
+    opening = first_line(F.col("text"))
+    titles = turns.where("role = 'user'").groupBy("path").agg(F.min_by("text", F.when(is_title, F.col("turn_idx"))).alias("first_text"), F.min_by(opening, F.when(opening != "", F.col("turn_idx"))).alias("opening"))
     models = most_common(turns.where("source = 'claude'"), "model").withColumnRenamed("model", "usual_model")
     files = (
         sessions.groupBy("path").agg(F.max("id").alias("file_id"), F.max("cwd").alias("file_cwd"))
         if sessions is not None
         else by_line.select("path", F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("file_cwd"))
     )
-    t = by_line.join(by_turn, "path", "left").join(models, "path", "left").join(files, "path", "left")
+    t = by_line.join(turn_totals(turns), "path", "left").join(titles, "path", "left").join(models, "path", "left").join(files, "path", "left")
     empty, zero = F.lit(""), F.lit(0).cast("bigint")
     no_usage = F.struct(*(zero.alias(k) for k in _USAGE))
     title = F.coalesce("given_title", "first_text", empty)

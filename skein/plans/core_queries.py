@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.functions.render import header_markdown, turn_markdown
-from skein.operators.fold import fold_transcripts, fold_turns, most_common, number_turns, running_clock
+from skein.operators.fold import fold_transcripts, fold_turns, most_common, number_turns, running_clock, turn_totals
 from skein.operators.nested import find_array_objects, item_links, linked_nodes
 from skein.operators.parse_rows import classify_records, find_malformed, load_index, load_records
 from skein.operators.schema_drift import changes, find_changes, unified_records
 from skein.operators.timestamps import find_odd_times, record_times
-from skein.plans import commands
-from skein.plans.core_oracles import ORACLES  # noqa: F401
+from skein.plans import commands, core_oracles, fold_oracles
 from skein.session import table, written
 from skein.sources.decode import decode
-from skein.sources.stores import DSH_FILES, preferred
+from skein.sources.stores import DSH_FILES, preferred, selected
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+ORACLES = {**core_oracles.ORACLES, **fold_oracles.ORACLES}
 NEEDLE = "nightly build"
 
 
@@ -41,7 +41,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     bad = classify_records(table(spark, d, "records")).where("status = 'malformed'")
-    return bad.groupBy("source", "reason").agg(F.count("*").alias("n"))
+    # every way to break JSON's syntax counts as one here; ``p1_rejected`` tells them apart
+    reason = F.when(F.col("reason").isin("blank_line", "not_an_object") | F.startswith("reason", F.lit("wrong_type")), F.col("reason")).otherwise("syntax")
+    return bad.withColumn("reason", reason).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 @query
@@ -106,13 +108,22 @@ def p7_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fold_records_turns(spark: SparkSession, d: str) -> DataFrame:
-    return fold_turns(written(decode(table(spark, d, "records")))).drop("titles")
+    return fold_turns(written(decode(table(spark, d, "records")))).select(
+        "source", "path", "line_no", "turn_idx", "role", "ts", "model", "tool_calls", F.array_join(F.transform("blocks", lambda b: F.concat(b["kind"], F.when(b["is_error"], "!").otherwise(""))), " ").alias("block_kinds"), "text", "all_text"
+    )
+
+
+@query
+def decoded_records(spark: SparkSession, d: str) -> DataFrame:
+    lines = decode(table(spark, d, "records"))
+    usage = [F.coalesce(f"usage.{k}", F.lit(-1)).alias(k) for k in ("input", "output", "cache_read", "cache_write", "reasoning")]
+    return lines.select("source", "path", "line_no", "malformed", "ts", "cwd", "id", "title", "model", *usage, F.size("turns").alias("turns"))
 
 
 @query
 def fold_records_transcripts(spark: SparkSession, d: str) -> DataFrame:
     decoded = written(decode(table(spark, d, "records")))
-    return fold_transcripts(decoded, written(fold_turns(decoded)), table(spark, d, "sessions"))
+    return fold_transcripts(decoded, written(fold_turns(decoded)), table(spark, d, "sessions")).select("*", "usage.*").drop("usage")
 
 
 @query
@@ -144,6 +155,22 @@ def resolve_fragment(spark: SparkSession, d: str) -> DataFrame:
     return commands.matching(table(spark, d, "sessions"), "Tidepool")
 
 
+@query
+def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
+    sessions = table(spark, d, "sessions")
+    return commands.resolve(sessions, sessions.agg(F.min("id")).first()[0].upper())
+
+
+@query
+def newest_session(spark: SparkSession, d: str) -> DataFrame:
+    return commands.resolve(table(spark, d, "sessions"))
+
+
+@query
+def sessions_selected(spark: SparkSession, d: str) -> DataFrame:
+    return commands.distinct_sessions(table(spark, d, "sessions").where(F.col("source").isin(selected(" DSH,claude, other"))))
+
+
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
     return commands.with_chars(table(spark, d, "transcripts"), table(spark, d, "turns"))
 
@@ -219,9 +246,8 @@ def visible_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def session_messages(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d, "role", "tool_calls", "all_text")
-    return t.groupBy("path").agg(F.count_if(F.col("role").isin("user", "assistant")).alias("messages"), F.sum("tool_calls").alias("tool_calls"), F.sum(F.octet_length("all_text")).alias("chars"))
+def turn_counts(spark: SparkSession, d: str) -> DataFrame:
+    return turn_totals(table(spark, d, "turns").select("path", "turn_idx", "role", "tool_calls", "all_text").distinct())
 
 
 @query
@@ -246,19 +272,6 @@ def usual_model(spark: SparkSession, d: str) -> DataFrame:
     return most_common(_turns(spark, d, "model"), "model")
 
 
-@query
-def first_and_last_model(spark: SparkSession, d: str) -> DataFrame:
-    named = _turns(spark, d, "model").where("model <> ''")
-    return named.groupBy("path").agg(F.min_by("model", F.struct("turn_idx", "model")).alias("first_model"), F.max_by("model", F.struct("turn_idx", "model")).alias("last_model"))
-
-
-@query
-def session_span(spark: SparkSession, d: str) -> DataFrame:
-    spans = _turns(spark, d, "ts").groupBy("path").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
-    seconds = F.floor(F.unix_millis(F.col("ended").cast("timestamp")) / 1000) - F.floor(F.unix_millis(F.col("started").cast("timestamp")) / 1000)
-    return spans.withColumn("seconds", F.coalesce(seconds, F.lit(0)).cast("bigint"))
-
-
 @query
 def format_times(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d, "ts").select("path", "turn_idx", X.format_time(F.col("ts")).alias("time")).distinct()
@@ -269,6 +282,11 @@ def turns_markdown(spark: SparkSession, d: str) -> DataFrame:
     return turn_markdown(table(spark, d, "turns"), full=True)
 
 
+@query
+def turns_markdown_plain(spark: SparkSession, d: str) -> DataFrame:
+    return turn_markdown(table(spark, d, "turns"))
+
+
 @query
 def headers_markdown(spark: SparkSession, d: str) -> DataFrame:
     return header_markdown(table(spark, d, "transcripts"))
@@ -299,26 +317,3 @@ def text_cuts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         "doc_id", X.collapse(t).alias("collapsed"), X.one_line(t).alias("title"), X.summary(t).alias("summary"), X.truncate(t, 60).alias("short"), X.truncate_lines(t).alias("long"), X.first_line(t).alias("line")
     )
-
-
-@query
-def sha256_probe(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
-
-
-@query
-def union_sources(spark: SparkSession, d: str) -> DataFrame:
-    s = commands.distinct_sessions(table(spark, d, "sessions"))
-    parts = [s.where(F.col("source") == name).select("source", "id", "bytes") for name in ("claude", "codex", "dsh")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query
-def usage_delta_and_last(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("v", F.col("value").cast("decimal(18,4)"))
-    return e.groupBy("user_id").agg(F.sum("v").cast("double").alias("summed"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
-
-
-@query
-def json_field(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
