@@ -1,7 +1,7 @@
 """SQL counterparts of the llm queries, for DuckDB."""
 
 # Fixed values in the SQL: role spellings and invisible characters, as in ``conversations``.
-P2 = r"""
+_JUDGED = r"""
 WITH m AS (
   SELECT source, session_id, seq, time_ms, role, text, min(row_id) AS id
   FROM messages WHERE session_id IS NOT NULL GROUP BY ALL
@@ -20,7 +20,12 @@ WITH m AS (
   FROM l GROUP BY 1
 ), d AS (
   SELECT session_id, count(*) AS n, count(DISTINCT seq) AS k, min(seq) AS lo, max(seq) AS hi FROM s WHERE source = 'dsh' GROUP BY 1
-)
+), broken AS (
 SELECT DISTINCT x.session_id FROM (SELECT DISTINCT session_id FROM s) x LEFT JOIN a USING (session_id) LEFT JOIN d USING (session_id)
 WHERE coalesce(u, 0) = 0 OR coalesce(a.a, 0) = 0 OR starts > 0 OR open > 0 OR (n IS NOT NULL AND (k <> n OR lo IS DISTINCT FROM 1 OR hi IS DISTINCT FROM n))
+)
+"""
+P2 = f"{_JUDGED} SELECT session_id FROM broken"
+P2_CONVERSATIONS = f"""{_JUDGED}, p AS (SELECT *, CASE WHEN source = 'dsh' THEN seq - 1 ELSE row_number() OVER (PARTITION BY session_id ORDER BY ord NULLS FIRST, id) - 1 END AS position FROM s)
+SELECT session_id, position, sp AS speaker, text FROM p WHERE sp IS NOT NULL AND session_id NOT IN (SELECT session_id FROM broken)
 """

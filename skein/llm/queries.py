@@ -79,4 +79,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (p2_found, p2_conversations, p3_found, p3_documents, p3_segments, p4_found, p8_packed, p8_fill, p9_selection, p9_shares, p9_tempered, p10_found, p10_stats)
 }
-ORACLES: dict[str, str] = {"p2_found": oracles.P2}
+ORACLES: dict[str, str] = {"p2_found": oracles.P2, "p2_conversations": oracles.P2_CONVERSATIONS}
