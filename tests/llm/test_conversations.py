@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from skein.llm.conversations import conversations, find_broken, jump, predecessors
+from skein.llm.conversations import checked, conversation_paths, conversations, find_broken, jump, pointers
 from skein.llm.oracles import P2
 
 SCHEMA = "row_id bigint, source string, session_id string, seq bigint, time_ms bigint, role string, text string, arrived timestamp"
@@ -49,18 +49,40 @@ def test_random_sessions_against_sql(spark):
 
 
 def test_predecessors_cross_partitions(spark):
-    rows = [("hot", i, i) for i in range(500)] + [(f"k{i}", i, 1000 + i) for i in range(50)]
-    got = {r.id: r.before for r in predecessors(spark.createDataFrame(rows, "k string, t bigint, id bigint"), "k", ["t", "id"], "id").collect()}
-    assert got == {i: i - 1 if 0 < i < 500 else None for _, _, i in rows}
+    rows = [("hot", "claude", None, i // 3, i) for i in range(500)] + [(f"k{i}", "codex", None, i, 1000 + i) for i in range(50)]
+    rows += [("hot", "dsh", 1 + i // 2, 7, 2000 + i) for i in range(400) if i not in (100, 101)] + [("d", "dsh", None, 7, 5000), ("d", "dsh", 1, 7, 5001), ("d", "dsh", 0, 7, 5002)]
+    got = {r.id: (r.parent, r.orphan) for r in pointers(spark.createDataFrame(rows, "session_id string, source string, seq bigint, time_ms bigint, id bigint")).collect()}
+    want = {i: (i - 1 if 0 < i < 500 else None, False) for *_, i in rows if i < 2000}
+    want |= {2000 + i: (None, i in (102, 103)) if i in (0, 1, 102, 103) else (2000 + (i // 2 - 1) * 2, False) for i in range(400) if i not in (100, 101)}
+    assert got == want | {5000: (None, True), 5001: (None, False), 5002: (None, True)}
 
 
 def test_jump_finds_roots_orphans_and_cycles(spark):
     rows = [(i, i - 1 if i else None, "user" if i % 3 == 0 else None) for i in range(100)] + [(200, 999, None), (201, 200, "user"), (300, 301, None), (301, 300, None)]
-    got = {r.id: r for r in jump(spark.createDataFrame(rows, "id bigint, parent bigint, speaks string")).collect()}
+    got = {r.id: r for r in jump(checked(spark.createDataFrame(rows, "id bigint, parent bigint, speaks string")))[0].collect()}
     assert all(got[i].root == 0 and got[i].depth == i for i in range(100)) and got[1].spoke_before == "user" and got[0].spoke_before is None
     assert got[200].orphan and got[201].root == 200 and not got[201].orphan and got[300].in_cycle and got[301].in_cycle and not got[5].in_cycle
 
 
+def test_a_branching_tree_gives_one_path_a_leaf(spark):
+    rng = random.Random(8)
+    parent = {0: None} | {i: rng.randrange(max(0, i - 6), i) for i in range(1, 60)} | {100: 999, 101: 100, 200: 201, 201: 200}
+    rows = [(i, "claude", "s", None, i, ("user", "assistant", "tool")[i % 3], f"m{i}", None, up) for i, up in parent.items()]
+    df = spark.createDataFrame(rows, SCHEMA + ", up bigint")
+    got = {}
+    for r in conversation_paths(df, "up").orderBy("leaf", "position").collect():
+        got.setdefault(r.leaf, []).append((r.position, r.text, r.speaker))
+    want = {}
+    for leaf in set(parent) - set(parent.values()) - {200, 201}:
+        path, at = [], leaf
+        while at in parent:
+            path.append(at)
+            at = parent[at]
+        want[leaf] = [(k, f"m{i}", ("user", "assistant", None)[i % 3]) for k, i in enumerate(reversed(path))]
+    assert got == want and len(want) > 10
+    assert [(r.leaf, r.text) for r in conversation_paths(messages(spark, talk("s", U, A))).orderBy("position").collect()] == [(1, "q"), (1, "a")]
+
+
 def test_order_and_empty(spark):
     rows = talk("s", ("user", "1"), ("tool", "-"), ("assistant", "2"), ("user", "3"), ("assistant", "4"))
     out = conversations(messages(spark, rows[::-1])).orderBy("position").collect()
