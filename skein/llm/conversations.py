@@ -139,9 +139,10 @@ def jump(nodes: DataFrame, most_rounds: int = 64) -> tuple[DataFrame, list[DataF
             break
         ups.append(state.select("id", F.col("ptr").alias("up")))
         known = reduce(DataFrame.unionByName, [*done, state])
-        p = known.select(F.col("id").alias("ptr"), F.when(F.col("speaks") != 0, F.col("speaks")).otherwise(F.col("above")).alias("p_above"), F.col("ptr").alias("p_ptr"), F.col("depth").alias("p_depth"), F.col("root").alias("p_root"))
-        moved = written(state.join(p, "ptr").select(
-            "id", "speaks", F.col("p_ptr").alias("ptr"), F.when(F.col("above") != 0, F.col("above")).otherwise(F.col("p_above")).alias("above"), "orphan", (F.col("depth") + F.col("p_depth")).alias("depth"), F.col("p_root").alias("root")
+        p = known.select(F.col("id").alias("ptr"), F.when(F.col("speaks") != 0, F.col("speaks")).otherwise(F.col("above")).alias("p_above"), F.col("ptr").isNull().alias("p_ended"), F.col("depth").alias("p_depth"), F.col("root").alias("p_root"))
+        # an unfinished row's root so far is what it points to
+        moved = written(state.drop("root").join(p, "ptr").select(
+            "id", "speaks", F.when(~F.col("p_ended"), F.col("p_root")).alias("ptr"), F.when(F.col("above") != 0, F.col("above")).otherwise(F.col("p_above")).alias("above"), "orphan", (F.col("depth") + F.col("p_depth")).alias("depth"), F.col("p_root").alias("root")
         ))
         done.append(moved.where("ptr is null"))
         state = moved.where("ptr is not null")

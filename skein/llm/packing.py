@@ -17,6 +17,7 @@ import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from skein.session import cut, spread, written
 #: Default vocabulary; any file of the installed public tokenizers may be named instead.
 TOKENIZER = "byte_bpe_50k.json"
 TOKENIZER_DIR = "/opt/tokenizers"
+#: Bits for the rank of a piece within its length, beside those for the length.
+RANK_BITS = 44
 
 
 @lru_cache(maxsize=2)
@@ -127,16 +130,41 @@ def pack(documents: DataFrame, capacity: int, tokenizer: str | None = None) -> D
             rows.append((length, taken[length], taken[length] + per * times, first_container, per))
             taken[length] += per * times
         first_container += times
-    places = spark.createDataFrame(rows, "size bigint, first_rank bigint, end_rank bigint, first_container bigint, per bigint")
     start = counts.withColumn("start", F.coalesce(F.sum("count").over(Window.partitionBy("size").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = lotted.withColumn("in_lot", F.row_number().over(Window.partitionBy("size", "lot").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(start.select("size", "lot", "start"), ["size", "lot"]).withColumn("rank", F.col("start") + F.col("in_lot")).select("doc_id", "piece", "size", "rank")
-    # the places of a length are disjoint runs of ranks: find the run by a sorted array of its bounds
-    runs = places.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("first_rank", "end_rank", "first_container", "per"))).alias("runs"))
-    found = ranked.join(F.broadcast(runs), "size").withColumn("run", F.filter("runs", lambda r: (r["first_rank"] <= F.col("rank")) & (F.col("rank") < r["end_rank"]))[0])
-    return found.select("doc_id", "piece", F.col("size").alias("tokens"), (F.col("run.first_container") + F.floor((F.col("rank") - F.col("run.first_rank")) / F.col("run.per"))).alias("container"))
+    # the runs of a length are disjoint and sorted: a rank's run is found by binary search, for whole batches at once
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    rows.sort()
+    table_ = np.array(rows, dtype=np.int64).reshape(-1, 5)
+    keys = np.searchsorted(sizes, table_[:, 0]) << RANK_BITS | table_[:, 1]
+    sent = spark.sparkContext.broadcast((sizes, keys, table_))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, keys, table_ = sent.value
+        for b in batches:
+            size, rank = b.column("size").to_numpy(), b.column("rank").to_numpy()
+            own = table_[np.searchsorted(keys, np.searchsorted(sizes, size) << RANK_BITS | rank, side="right") - 1] if len(keys) else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("size"), pa.array(own[:, 3] + (rank - own[:, 1]) // own[:, 4])], ["doc_id", "piece", "tokens", "container"])
+
+    return ranked.mapInArrow(run, "doc_id bigint, piece int, tokens bigint, container bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """``containers, tokens, fill`` of a packing."""
     return packed.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).withColumn("fill", F.col("tokens") / (F.col("containers") * capacity))
+
+
+def packing_checks(documents: DataFrame, packed: DataFrame, capacity: int) -> DataFrame:
+    """One row of what must hold for a packing: ``documents`` with text that are placed, ``missing`` ones, ``overfull``
+    containers, ``twice`` placed pieces, ``needlessly_split`` documents and ``gaps`` in the containers' numbers."""
+    placed = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"), F.sum("tokens").alias("tokens"))
+    wanted = documents.where(F.coalesce(F.col("text"), F.lit("")) != "").select("doc_id")
+    both = wanted.join(placed, "doc_id", "full")
+    by_doc = both.agg(
+        F.count("pieces").alias("documents"), F.count_if(F.col("pieces").isNull()).alias("missing"), F.count_if(F.col("pieces") != F.col("kinds")).alias("twice"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("tokens") / capacity)).alias("needlessly_split"),
+    )
+    fill = packed.groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.count_if(F.col("tokens") > capacity).alias("overfull"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("gaps"))
+    one = F.lit(1).alias("one")  # one row each
+    return by_doc.withColumn("one", one).join(fill.withColumn("one", one), "one").drop("one")

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.llm.mixing import allot, entropy, find_exponent, mix, temperature_weights
-from skein.llm.packing import count_tokens, fill_report, pack, pack_histogram
+from skein.llm.packing import count_tokens, fill_report, pack, pack_histogram, packing_checks
 
 
 def one_by_one(lengths, capacity, shortest):
@@ -96,3 +96,15 @@ def test_mix(spark):
     assert mix(df.limit(0), targets)[0].count() == 0
     hot = mix(df, targets, target_entropy=math.log(2) * 0.9)[1].collect()
     assert abs(sum(x.share for x in hot) - 1) < 1e-9
+
+
+def test_exponents_above_one_and_any_size():
+    x = find_exponent({"a": 3, "b": 1}, 0.3)
+    assert x > 1 and abs(entropy(temperature_weights({"a": 3, "b": 1}, x)) - 0.3) < 1e-6
+    assert temperature_weights({"a": 1e300, "b": 1e-300}, 900.0) == {"a": 1.0, "b": 0.0}
+
+
+def test_checks_find_what_is_broken(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, "d")], "doc_id bigint, text string")
+    packed = spark.createDataFrame([(1, 0, 5, 0), (1, 0, 5, 3), (2, 0, 9, 0)], "doc_id bigint, piece int, tokens bigint, container bigint")
+    assert packing_checks(docs, packed, 10).first().asDict() == {"documents": 2, "missing": 1, "twice": 1, "needlessly_split": 1, "overfull": 1, "gaps": 2}
