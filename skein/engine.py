@@ -11,7 +11,7 @@ from skein.operators.fold import fold_transcripts, fold_turns
 from skein.plans import commands
 from skein.session import written, ship
 from skein.sources.decode import decode
-from skein.sources.stores import discover, scan, unreadable
+from skein.sources.stores import ROOTS, discover, scan, unreadable
 
 
 class Engine:
@@ -26,7 +26,7 @@ class Engine:
 
     @cached_property
     def records(self) -> DataFrame:
-        return scan(self.sessions)
+        return scan(self.sessions, ROOTS | (self.roots or {}))
 
     @cached_property
     def decoded(self) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import claude_cwd, codex_id, dsh_cwd
@@ -20,6 +22,17 @@ DSH_FILES = ["session.v3.jsonl.zstd", "session.jsonl.zstd"]
 SESSION = "source string, id string, path string, cwd string, bytes bigint, mod_time timestamp"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that the session knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def plain_path(path) -> Column:
+    """Local paths without their scheme, others as they are."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def _files(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = False, name_filter: str | None = None) -> DataFrame:
     """``path, bytes, mod_time`` of matching files; the content column is never read."""
     reader = spark.read.format("binaryFile")
@@ -28,7 +41,7 @@ def _files(spark: SparkSession, root: str, pattern: str | None = None, recursive
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
     found = reader.load(f"{root.rstrip('/')}/{pattern}" if pattern else root)
-    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mod_time"))
+    return found.select(plain_path("path").alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mod_time"))
 
 
 def _part(path: str, from_end: int):
@@ -75,31 +88,72 @@ def discover(spark: SparkSession, roots: dict[str, str] | None = None, names: st
     found = spark.createDataFrame([], SESSION)
     for name in selected(names):
         root = os.path.expanduser((roots or ROOTS).get(name, ""))
-        if root and os.path.isdir(root) and any(os.scandir(root)):
+        if root and exists(spark, root):
             try:
                 found = found.unionByName(ADAPTERS[name](spark, root))
-            except Exception as e:  # a pattern that matches no file is an analysis error
-                if "PATH_NOT_FOUND" not in str(e):
+            except AnalysisException as e:  # a pattern that matches no file
+                if e.getCondition() != "PATH_NOT_FOUND":
                     raise
     return found
 
 
-def scan(sessions: DataFrame) -> DataFrame:
+#: Up to so many sessions are read by a list of their paths; of more, whole stores are read by pattern and joined.
+LISTED = 10_000
+#: A plain file larger than this is read in splits, a smaller or compressed one as a whole.
+WHOLE_BYTES = 64 << 20
+# The files of each store, at any depth.
+PATTERNS = {"claude": "*.jsonl", "codex": "rollout-*.jsonl", "dsh": "session*.jsonl.zstd"}
+
+
+def whole_lines(texts: DataFrame) -> DataFrame:
+    """``path, line_no, line`` of whole files (``path, value``)."""
+    lines = texts.select("path", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
+    return lines.select("path", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def split_lines(rows: DataFrame) -> DataFrame:
+    """``path, line_no, line`` of files read in splits: lines are numbered within a split (``path, start, value`` and
+    ``m``, which grows in reading order), then the splits of a file one after the other."""
+    sizes = rows.groupBy("path", "start").count()
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("path", "start", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("path", "start").orderBy("m")))
+    return numbered.join(firsts, ["path", "start"]).select("path", (F.col("before") + F.col("n")).alias("line_no"), F.col("value").alias("line"))
+
+
+def scan(sessions: DataFrame, roots: dict[str, str] | None = None, listed: int = LISTED, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """``source, path, line_no, raw`` of every line of the sessions' files.
 
-    Lines end at a line feed; one carriage return before it is dropped. A file that can't be
-    decoded gives no line; :func:`unreadable` finds it. The list of paths is the file catalogue
-    that Spark's scan needs on the driver; contents stay distributed.
+    Lines end at a line feed; one carriage return before it is dropped; lines may have any length. A file that can't
+    be decoded gives no line; :func:`unreadable` finds it. ``roots`` says where the stores are, so that many
+    sessions needn't be listed on the driver.
     """
     spark = sessions.sparkSession
-    files = [r.path for r in sessions.select("path").distinct().collect()]
-    if not files:
+    reader = lambda **more: spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True, **more)
+    path = plain_path(F.col("_metadata.file_path")).alias("path")
+    place = [path, F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("m")]
+    wanted = sessions.select("source", "path", (F.col("path").endswith(".zstd") | (F.col("bytes") <= whole_bytes)).alias("whole")).distinct()
+    few = wanted.limit(listed + 1).collect()
+    parts = []
+    if len(few) <= listed or not roots:
+        few = few if len(few) <= listed else wanted.collect()
+        if whole := sorted({r.path for r in few if r.whole}):
+            parts.append(whole_lines(reader().text(whole, wholetext=True).select(path, "value")))
+        if large := sorted({r.path for r in few if not r.whole}):
+            parts.append(split_lines(reader().text(large, lineSep="\n").select(*place)))
+    else:
+        for name, pattern in PATTERNS.items():
+            if (root := os.path.expanduser(roots.get(name, ""))) and exists(spark, root):
+                files = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+                own = wanted.where(F.col("source") == name)
+                parts.append(whole_lines(reader(**files).text(root, wholetext=True).select(path, "value").join(own.where("whole"), "path", "left_semi")))
+                if name != "dsh":
+                    parts.append(split_lines(reader(**files).text(root, lineSep="\n").select(*place).join(own.where("not whole"), "path", "left_semi")))
+    if not parts:
         return spark.createDataFrame([], "source string, path string, line_no bigint, raw string")
-    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(files, wholetext=True)
-    whole = text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
-    kept = lines.select("path", (F.col("n") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("raw")).where("raw <> ''")
-    return kept.join(sessions.select("source", "path").distinct(), "path").select("source", "path", "line_no", "raw")
+    lines = reduce(DataFrame.unionByName, parts)
+    kept = lines.select("path", "line_no", F.regexp_replace("line", "\r$", "").alias("raw")).where("raw <> ''")
+    return kept.join(wanted.select("source", "path"), "path").select("source", "path", "line_no", "raw")
 
 
 def unreadable(sessions: DataFrame, records: DataFrame) -> DataFrame:
@@ -109,7 +163,12 @@ def unreadable(sessions: DataFrame, records: DataFrame) -> DataFrame:
 
 def probe(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, status, bytes, sha256`` of each file's decoded content; a broken file has status ERROR."""
-    listed = spark.createDataFrame([(os.path.abspath(p),) for p in paths], "path string")
-    text = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text([p for p in paths if os.path.exists(p)] or ["/dev/null"], wholetext=True)
-    got = text.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.octet_length("value").cast("bigint").alias("bytes"), F.sha2("value", 256).alias("sha256"))
+    full = [p if "://" in p else os.path.abspath(p) for p in paths]
+    listed = spark.createDataFrame([(p,) for p in full], "path string").select(plain_path("path").alias("path"))
+    there = [p for p in full if exists(spark, p)]
+    empty = spark.createDataFrame([], "path string, bytes bigint, sha256 string")
+    if not there:
+        return listed.join(empty, "path", "left").select("path", F.lit("ERROR").alias("status"), "bytes", "sha256")
+    text = spark.read.options(ignoreCorruptFiles=True, ignoreMissingFiles=True).text(there, wholetext=True)
+    got = text.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.octet_length("value").cast("bigint").alias("bytes"), F.sha2("value", 256).alias("sha256"))
     return listed.join(got, "path", "left").select("path", F.when(F.col("sha256").isNull(), "ERROR").otherwise("OK").alias("status"), "bytes", "sha256")

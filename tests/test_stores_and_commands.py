@@ -8,7 +8,7 @@ from skein import cli
 from skein.engine import Engine
 from skein.functions.render import load_session, print_json, to_json, to_markdown, to_text
 from skein.plans import commands
-from skein.sources.stores import discover, probe, selected
+from skein.sources.stores import discover, probe, scan, selected
 from skein.streaming.ingest import latest, refresh, stream_new_files
 
 
@@ -147,6 +147,61 @@ def test_refresh_parses_only_changes(spark, roots, tmp_path):
     assert latest(spark, store, "turns").where("path like '%c2.jsonl'").count() == 2 and latest(spark, store, "transcripts").count() == 5
 
 
+def test_stores_by_uri_pattern_and_splits(spark, roots, engine, tmp_path):
+    uris = {n: f"file://{d}" for n, d in roots.items()}
+    assert {r.path for r in discover(spark, uris).collect()} == {r.path for r in engine.sessions.collect()}
+    lines = lambda df: sorted(map(tuple, df.collect()))
+    want = lines(engine.records)
+    assert {r[2] for r in want if r[1].endswith("c2.jsonl")} >= {1, 2}
+    assert lines(scan(engine.sessions, uris, listed=0)) == want and len(want) > 8
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")  # lines cross the ends of splits
+        assert lines(scan(engine.sessions, whole_bytes=10)) == want and lines(scan(engine.sessions, uris, 0, 10)) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r.status for r in probe(spark, [f"{uris['claude']}/-work-a/c1.jsonl", "/no/file"]).collect()} == {"OK", "ERROR"}
+    assert refresh(spark, discover(spark, uris), f"file://{tmp_path}/s") == 5 and refresh(spark, discover(spark, uris), f"file://{tmp_path}/s") == 0
+
+
+def test_a_crash_between_two_writes(spark, roots, tmp_path, monkeypatch):
+    from skein.streaming import ingest
+
+    found, store = discover(spark, roots, "claude"), f"{tmp_path}/store"
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "fold_transcripts", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            refresh(spark, found, store)
+    with monkeypatch.context() as m:
+
+        class Broken:
+            withColumn = lambda self, *_: 1 / 0
+
+        m.setattr(ingest, "fold_transcripts", lambda *_: Broken())
+        with pytest.raises(ZeroDivisionError):
+            refresh(spark, found, store)
+    assert os.path.isdir(f"{store}/turns") and refresh(spark, found, store) == 2
+    assert latest(spark, store, "turns").count() == 3 and spark.read.parquet(f"{store}/turns").count() == 6
+
+
+def test_compressed_stream(spark, roots, tmp_path):
+    for _ in range(2):
+        stream_new_files(spark, "dsh", f"{roots['dsh']}/*/*/session.jsonl.zstd", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["legacy", "old"]
+
+
+def test_skippable_frames(spark, tmp_path):
+    line = json.dumps(say("user", "packed")).encode() + b"\n"
+    frame = zstandard.ZstdCompressor().compress
+    skip = b"\x5a\x2a\x4d\x18" + (7).to_bytes(4, "little") + b"comment"
+    path = f"{tmp_path}/dsh/~w/session-9/session.v3.jsonl.zstd"
+    os.makedirs(os.path.dirname(path))
+    with open(path, "wb") as f:
+        f.write(skip + frame(line) + skip + frame(line) + skip)
+    found = discover(spark, {"dsh": f"{tmp_path}/dsh"}, "dsh")
+    assert [r.line_no for r in scan(found).orderBy("line_no").collect()] == [1, 2]
+
+
 def test_stream(spark, roots, tmp_path):
     q = stream_new_files(spark, "claude", f"{roots['claude']}/*/*.jsonl", f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
