@@ -13,7 +13,7 @@ from skein.llm.conversations import conversations, find_broken
 from skein.llm.language import find_unnamed_languages, label_documents, label_segments
 from skein.llm.mixing import mix, mixing_checks
 from skein.llm.packing import fill_report, pack, packing_checks
-from skein.llm.pairs import find_defects
+from skein.llm.pairs import find_defects, label_pairs
 from skein.llm.text_quality import find_not_prose, text_stats
 from skein.session import table, written
 
@@ -48,6 +48,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return find_defects(table(spark, d, "turns"), table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    return label_pairs(table(spark, d, "turns"), table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), _capacity(spark, d, "medium"))
 
@@ -104,6 +108,6 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_conversations, p3_found, p3_documents, p3_segments, p4_found, p8_packed, p8_packed_small, p8_packed_large, p8_fill, p8_checks, p9_selection, p9_shares, p9_checks, p9_tempered, p10_found, p10_stats)
+    for f in (p2_found, p2_conversations, p3_found, p3_documents, p3_segments, p4_found, p4_labels, p8_packed, p8_packed_small, p8_packed_large, p8_fill, p8_checks, p9_selection, p9_shares, p9_checks, p9_tempered, p10_found, p10_stats)
 }
 ORACLES: dict[str, str] = {"p2_found": oracles.P2, "p2_conversations": oracles.P2_CONVERSATIONS, "p8_checks": oracles.P8_CHECKS, "p9_checks": oracles.P9_CHECKS}
