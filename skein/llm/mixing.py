@@ -161,8 +161,9 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, tar
 
 
 def mixing_checks(selection: DataFrame, report: DataFrame, documents: DataFrame) -> DataFrame:
-    """``source`` and what must hold for it: ``share_met`` (within 0.001), ``within_repeats``, and ``one_text_once``:
+    """``source`` and what must hold for it: ``share_met`` (but for one text, whose tokens are no more than its bytes), ``within_repeats``, and ``one_text_once``:
     no text of the source is selected under two documents."""
     texts = selection.join(documents.select("doc_id", F.md5("text").alias("h")), "doc_id").groupBy("source", "h").count().groupBy("source").agg((F.max("count") == 1).alias("one_text_once"))
-    rows = report.join(texts, "source", "left")
-    return rows.select("source", (F.abs(F.col("share") - F.col("target_share")) < 0.001).alias("share_met"), (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("one_text_once", F.lit(True)).alias("one_text_once"))
+    one = documents.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("largest")).first()["largest"]
+    rows = report.join(texts, "source", "left").withColumn("total", F.sum("tokens").over(Window.partitionBy()))
+    return rows.select("source", (F.abs(F.col("share") - F.col("target_share")) * F.col("total") <= one).alias("share_met"), (F.col("most_times") <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("one_text_once", F.lit(True)).alias("one_text_once"))
